@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, pii, quality, secrets, sharding, urlfilter
+from . import decontaminate, jaccard, packing, pii, quality, secrets, sharding, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        jaccard.op1_jaccard_join,
         secrets.op2_secret_scan,
         pii.op3_personal_data,
         quality.op6_quality_rules,
