@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing, pii, quality, secrets, sharding, urlfilter
+from . import decontaminate, jaccard, licenses, linededup, packing, pii, quality, secrets, sharding, urlfilter
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,8 @@ QUERIES = {
         jaccard.op1_jaccard_join,
         secrets.op2_secret_scan,
         pii.op3_personal_data,
+        licenses.op4_license_scan,
+        linededup.op5_line_dedup,
         quality.op6_quality_rules,
         decontaminate.op7_decontaminate,
         sharding.op8_shard_lookup,
