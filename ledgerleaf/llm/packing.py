@@ -13,6 +13,7 @@ A null doc_id stays null.  An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,44 +30,78 @@ CAPACITY = 4096
 FINE = 64
 #: Documents that one worker packs; sets the number of workers.
 DOCS_PER_WORKER = 50_000
-#: Chunks of text whose ids a Python worker remembers.
-REMEMBERED = 600_000
+#: Pieces of text, and chunks of it, whose ids a Python worker remembers.
+REMEMBERED = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
+#: Texts whose tokens end with every run of letters, digit and run of marks: no apostrophe (which
+#: starts tokens like 's), no special token, and of other letters only those of Latin-1.
+_NOT_PLAIN = re.compile("[^\x00-&(-~À-ÖØ-öø-ÿ]|<\\|")
+_PIECE = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+", re.A)
+
+
 class ChunkEncoder:
-    """Encodes texts by the tokenizer's file, remembering the ids of chunks between white space.
+    """Encodes texts by the tokenizer's file, remembering the ids of the parts of texts.
 
     White space is dropped by the tokenizer and no token crosses it, so a text's ids are those of
-    its chunks in order.  What is remembered is bounded; a full memory starts anew.
+    its chunks in order; in plain texts they are those of even smaller pieces, of which far fewer
+    are distinct.  What is remembered is bounded; a full memory starts anew.
     """
 
     def __init__(self, path: str, end_id: int | None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, with the end id."""
-        known = self.known
-        split = [t.split() for t in texts]
-        new = list({c for chunks in split for c in chunks if c not in known})
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_each(self, texts: list[str], into: dict[str, bytes]) -> None:
+        for text, ids in zip(texts, self._ids(texts)):
+            into[text] = np.array(ids, "<u4").tobytes()
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        """Each piece is one word to the tokenizer, so many are encoded as one text and told apart
+        by the tokens that end a word."""
+        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            got = np.array(ids, "<u4")
+            last = np.flatnonzero(self.ends[got]) + 1
+            if len(last) != len(group) or last[-1] != len(got):
+                self._encode_each(group, self.pieces)
+                continue
+            flat, at = got.tobytes(), 0
+            for piece, to in zip(group, (4 * last).tolist()):
+                self.pieces[piece] = flat[at:to]
+                at = to
+
+    @staticmethod
+    def _new(parts: list[list[str]], known: dict[str, bytes]) -> list[str]:
+        wanted = set().union(*parts)
+        new = list(wanted.difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
-            new = list({c for chunks in split for c in chunks})
-        if new:
-            got = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in new], add_special_tokens=False)
-            ids = [e.ids for e in got]
-            flat = np.fromiter((i for x in ids for i in x), "<u4").tobytes()
-            at = 0
-            for chunk, x in zip(new, ids):
-                known[chunk] = flat[at : (at := at + 4 * len(x))]
-        find = known.__getitem__
-        return [b"".join(map(find, chunks)) + self.end for chunks in split]
+            new = list(wanted)
+        return new
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, with the end id."""
+        plain = [not _NOT_PLAIN.search(t) for t in texts]
+        parts = [_PIECE.findall(t.lower()) if p else t.encode("utf-8", "surrogatepass").split() for t, p in zip(texts, plain)]
+        parts = [x if p else [c.decode("utf-8", "surrogatepass") for c in x] for x, p in zip(parts, plain)]
+        self._encode_pieces(self._new([x for x, p in zip(parts, plain) if p], self.pieces))
+        self._encode_each(self._new([x for x, p in zip(parts, plain) if not p], self.chunks), self.chunks)
+        of_piece, of_chunk = self.pieces.__getitem__, self.chunks.__getitem__
+        return [b"".join(map(of_piece if p else of_chunk, x)) + self.end for x, p in zip(parts, plain)]
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -98,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, capacity: in
         enc = encoder(tokenizer, end_id)
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            texts = batch.column(1).fill_null("").to_pylist()
             for i in range(0, len(ids), 500):
                 rows: list[tuple] = []
                 for doc, got in zip(ids[i : i + 500], enc.encode(texts[i : i + 500])):
