@@ -99,7 +99,7 @@ def _blocks(items: DataFrame, size: int, limit: int) -> list[NgramSet]:
     total = grams.count()
     parts = -(-total // limit) or 1
     block = F.pmod(F.xxhash64("words"), F.lit(parts))
-    return [NgramSet([(r.n, bytes(r.words), r.item) for r in grams.filter(block == i).toLocalIterator()]) for i in range(parts)]
+    return [NgramSet([(r.n, bytes(r.words), r.item) for r in grams.filter(block == i).collect()]) for i in range(parts)]
 
 
 def _covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -83,7 +83,7 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
 
     schema = "part long, counts binary"
     total = np.zeros((1 << SKETCH_BITS) // ROW * ROW, np.uint64).reshape(-1, ROW)
-    for r in _source(docs).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).toLocalIterator():
+    for r in _source(docs).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
         total[r.part] = np.frombuffer(r.counts, np.uint64)
     return total.ravel()
 
@@ -243,8 +243,8 @@ def _needed(ids: DataFrame) -> np.ndarray:
     bits = np.zeros(1 << (NEEDED_BITS - 6), np.uint64)
     slot = F.pmod(F.xxhash64("id"), F.lit(1 << NEEDED_BITS))
     words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    for r in words.toLocalIterator():
-        bits[r.word] = np.uint64(r.bits & (1 << 64) - 1)
+    got = words.toArrow()
+    bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bits
 
 
