@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import bounded_batches, fresh, materialise, table
 from .components import connected
 from .textkit import NOT_SPACE, mix, shingles, text_buffer, words_of
 
@@ -321,8 +321,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with only the least doc_id of each component; rows of a null doc_id stay."""
     found = near_duplicates(docs, size, num, den)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    gone = fresh(docs, "gone")
+    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
