@@ -78,4 +78,4 @@ def overall_confidence(text: Column, confidence: Column) -> Column:
     weight = F.when(confidence.isNotNull(), F.length(strip(text)))
     # Decimals, so that the sum does not depend on the order in which tasks finish.
     weighted = F.sum((confidence * weight).cast("decimal(28,8)"))
-    return F.round(F.try_divide(weighted.cast("double"), F.sum(weight)), 4)
+    return F.round(F.try_divide(weighted, F.sum(weight).cast("decimal(18,0)")), 4).cast("double")
