@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import layout, paths, rules, score
@@ -412,3 +411,59 @@ def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
     pages = F.array_join(F.transform(F.slice(turns, 1, 3), lambda x: x["role"]), ",")
     return _table(spark, sf_dir, "conversations").filter("turn IS NOT NULL").groupBy("conv_id").agg(pages.alias("pages"), F.count("*").alias("source_page_count"), (F.count("*") > 3).alias("truncated"))
+
+
+# --- coercion, replies, sources
+
+# Braces are doubled: the text is a format for the table.
+_RAW_JSON = """SELECT o_orderkey AS k, CASE o_orderkey % 6
+WHEN 0 THEN concat('{{"invoice_number":" INV  ', o_orderkey, ' ","total":"SAR ', o_orderkey, ',000.50","items":[],"extra":1}}')
+WHEN 1 THEN '[1,2]' WHEN 2 THEN '{{"total":"1.2.3","vendor_name":12,"currency":"n/a"}}' WHEN 3 THEN '{{"items":["x",{{"total":"(5)"}},{{"total":[1]}}],"total":true}}'
+WHEN 4 THEN 'no json' ELSE concat('{{"total":', o_orderkey, ',"items":{{}}}}') END AS raw FROM {orders}"""
+
+
+@query(f"""WITH r AS ({_RAW_JSON.format(orders="orders")}) SELECT k, CASE k % 6 WHEN 0 THEN concat('INV ', k) END AS invoice_number,
+CASE k % 6 WHEN 0 THEN cast(concat(k, '000.50') as double) WHEN 3 THEN 1.0 WHEN 5 THEN cast(k as double) END AS total, CASE WHEN k % 6 IN (1, 4) THEN NULL WHEN k % 6 = 3 THEN 2 ELSE 0 END AS n_items,
+CASE k % 6 WHEN 0 THEN '' WHEN 1 THEN 'not_an_object' WHEN 4 THEN 'not_an_object' WHEN 2 THEN 'vendor_name=string_type,total=float_parsing' WHEN 3 THEN 'items.0=model_type,items.2.total=float_type' ELSE 'items=list_type' END AS issues FROM r""")
+def coerce_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.coerce import coerce
+    from ..types import INVOICE
+
+    raw = spark.sql(_RAW_JSON, orders=_table(spark, sf_dir, "orders"))
+    made = raw.select("k", coerce(F.col("raw"), INVOICE).alias("c"))
+    said = F.array_join(F.transform("c.issues", lambda i: F.when(i["code"] == "field_invalid", F.concat_ws("=", i["field"], i["expected"])).otherwise(i["code"])), ",")
+    return made.select("k", "c.doc.invoice_number", "c.doc.total", F.when(F.col("c.doc").isNotNull(), F.size("c.doc.items")).alias("n_items"), said.alias("issues"))
+
+
+_REPLY = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 1 THEN concat('Here: ', props, ' done') WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN 'null' WHEN 4 THEN concat('{{ ', props) ELSE props END AS reply FROM {events}"""
+
+
+@query("SELECT event_id, CASE WHEN event_id % 6 IN (2, 3) THEN NULL ELSE json_extract_string(props, '$.k') END AS k FROM events")
+def parse_json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.replies import parse_json_object as parse
+
+    replies = spark.sql(_REPLY, events=_table(spark, sf_dir, "events"))
+    return replies.select("event_id", F.get_json_object(parse("reply"), "$.k").alias("k"))
+
+
+@query(f"""{fx.CTE}, v AS (SELECT k, engine FROM inv, (VALUES ('a'), ('b')) e(engine)) SELECT engine, count(*) AS answers, count(DISTINCT k) AS documents FROM v GROUP BY 1""")
+def samples_by_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample is asked of every engine: the engines are a literal of two rows."""
+    engines = F.explode(F.array(F.lit("a"), F.lit("b"))).alias("engine")
+    return fx.invoices(spark, sf_dir).select("k", engines).groupBy("engine").agg(F.count("*").alias("answers"), F.count_distinct("k").alias("documents"))
+
+
+@query(f"""{fx.CTE}, {_A}, {_B}, d AS ({_DIFF_SQL}), n AS (SELECT k, count(*) AS n_corrections, min(path) AS first_path FROM d GROUP BY k)
+SELECT inv.k, invoice_number, coalesce(n_corrections, 0) AS n_corrections, first_path FROM inv LEFT JOIN n USING (k)""")
+def point_lookup_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their corrections nested; the corrections are grouped before the join."""
+    nested = _changes(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("path", "old", "new"))).alias("corrections"))
+    joined = fx.invoices(spark, sf_dir).select("k", "invoice_number").join(nested, "k", "left")
+    return joined.select("k", "invoice_number", F.coalesce(F.size("corrections"), F.lit(0)).cast("long").alias("n_corrections"), F.get("corrections", F.lit(0))["path"].alias("first_path"))
+
+
+@query(f"{fx.CTE}, {_A}, {_B} {_DIFF_SQL.replace('SELECT coalesce(a.k, b.k) AS k', 'SELECT CASE coalesce(a.k, b.k) % 2 WHEN 0 THEN ' + chr(39) + 'traditional' + chr(39) + ' ELSE ' + chr(39) + 'vlm' + chr(39) + ' END AS engine, coalesce(a.k, b.k) AS k')}")
+def corrections_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the corrections table: the engine is copied from the document at review time."""
+    engine = F.when(F.col("k") % 2 == 0, "traditional").otherwise("vlm").alias("engine")
+    return _changes(spark, sf_dir).select(engine, "k", "path", *_split("old", "old"), *_split("new", "new"))
