@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, materialise, table
 from .textkit import ALNUM, text_buffer, words_of
 
 #: Notices by which works declare their licenses.
@@ -162,9 +162,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     """(doc_id, path, license, cosine, basis, license_dir) of each row of (doc_id, path, text); basis:
     'own', 'directory' or null."""
     bounded_batches(docs.sparkSession)
-    own = own_licenses(docs, Weights(*term_counts(docs, templates), templates, least))
+    scanned = own_licenses(docs, Weights(*term_counts(docs, templates), templates, least))
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_extract(c, r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
-    own = own.withColumn("dir", parent(F.col("path")))
+    # Texts are scanned once; what follows reads the findings.
+    own = materialise(scanned.withColumn("dir", parent(F.col("path"))))
     files = own.filter(F.col("own").isNotNull() & F.col("dir").isNotNull() & (F.col("licensed_words") >= file_share * F.col("n_words")))
     holders = files.groupBy("dir").agg(F.min(F.struct("path", "own")).alias("f")).select(F.col("dir").alias("holder"), F.col("f.own").alias("inherited"))
     # Directories, not documents, are joined with their ancestors ("" is the root).
@@ -173,7 +174,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
     ancestors = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))
     up = dirs.select("dir", F.explode(F.array_distinct(ancestors)).alias("holder"))
     nearest = up.join(holders, "holder").groupBy("dir").agg(F.max_by(F.struct("holder", "inherited"), F.length("holder")).alias("near"))
-    found = own.join(nearest, "dir", "left")
+    found = own.join(materialise(nearest), "dir", "left")
     return found.select(
         "doc_id", "path",
         F.coalesce("own", "near.inherited").alias("license"),
