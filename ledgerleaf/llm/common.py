@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold; bounds what a Python worker keeps at once.
 BATCH_CONF = {
@@ -49,7 +48,3 @@ def fresh(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
-
-
-def as_id(df: DataFrame, name: str = "doc_id"):
-    return F.col(name).cast("long").alias(name)
