@@ -1,8 +1,8 @@
 """Extraction engines as plug-ins, and the flow from uploads to gated results.
 
-An engine is a callable on an iterator of pandas frames (path, text, doc_type) that yields frames
-(path, json, raw_text, confidence, error); it runs once a partition, so it may load a model first,
-and reports failures in ``error`` rather than raising.
+An engine is a callable on an iterator of pandas frames (path, text, pages, doc_type) that yields
+frames (path, json, raw_text, confidence, error); it runs once a partition, so it may load a model
+first, and reports failures in ``error`` rather than raising.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import structure
+from .operators import paths
 from .operators.coerce import coerce
 from .operators.rules import needs_review, validate
 from .types import schema_for
@@ -41,14 +42,37 @@ def get(key: str | None) -> Extract | None:
 
 def process(texts: DataFrame, doc_type: str, engine: str | None = None, as_of: Column | None = None) -> DataFrame:
     """(path, doc_type, engine, doc, issues, raw_text, confidence, needs_review, status, error) of
-    each (path, text).  Failures are rows that need a review; nothing is shuffled."""
+    each (path, text), with ``pages`` (an array of encoded images) for engines that read those.
+    Failures are rows that need a review; nothing is shuffled."""
     schema, extract = schema_for(doc_type), get(engine)
     kind, name = doc_type.strip().lower(), (engine or "traditional").strip().lower()
     if extract is None:
         rows = texts.select("path", F.to_json(structure(kind, F.col("text"))).alias("json"), F.col("text").alias("raw_text"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("error"))
     else:
-        rows = texts.select("path", "text", F.lit(kind).alias("doc_type")).mapInPandas(extract, EXTRACTED)
+        pages = F.col("pages") if "pages" in texts.columns else F.lit(None)
+        rows = texts.select("path", "text", pages.cast("array<binary>").alias("pages"), F.lit(kind).alias("doc_type")).mapInPandas(extract, EXTRACTED)
     made = rows.withColumn("c", F.when(F.col("json").isNotNull() & F.col("error").isNull(), coerce(F.col("json"), schema))).withColumn("doc", F.col("c.doc"))
     found = made.withColumn("issues", validate(F.col("doc"), kind, schema, as_of))
     review = F.col("error").isNotNull() | needs_review(F.col("issues"), F.col("confidence"))
     return found.select("path", F.lit(kind).alias("doc_type"), F.lit(name).alias("engine"), "doc", "issues", "raw_text", "confidence", review.alias("needs_review"), F.when(F.col("error").isNotNull(), "failed").otherwise("ok").alias("status"), "error")
+
+
+def compare(texts: DataFrame, doc_type: str, keys: list[str], out: str, as_of: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(results, rows, agreement) of two or more engines on the same documents.
+
+    ``results`` are those of ``process`` with the engine's place among ``keys``; they are written to
+    ``out`` first, so that an engine that answers differently each time is asked once.  ``rows`` are
+    (source, path, values, agree), a row a field; ``agreement`` is their share by document.  An
+    engine named twice is asked twice, and its later column is called ``engine#2`` and so on.
+    """
+    if len(keys) < 2:
+        raise ValueError(f"a comparison needs two engines or more, not {len(keys)}")
+    for key in keys:
+        get(key)
+    for k, key in enumerate(keys):
+        made = process(texts, doc_type, key, as_of)
+        name = key.strip().lower() if key.strip().lower() not in [x.strip().lower() for x in keys[:k]] else f"{key.strip().lower()}#{k + 1}"
+        made.withColumn("engine", F.lit(name)).write.mode("overwrite").parquet(f"{out}/ordinal={k}")
+    results = texts.sparkSession.read.parquet(out)
+    rows = paths.compare(results.withColumnRenamed("path", "source"), "source")
+    return results, rows, paths.agreement(rows, "source")
