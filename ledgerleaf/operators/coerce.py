@@ -33,34 +33,47 @@ def _let(x: Column, made) -> Column:
     return F.get(F.transform(F.array(x), lambda y: made(y)), F.lit(0))
 
 
-def _scalar(v: Column, field: T.StructField, path: Column) -> Column:
-    """struct<value, issue> of one field."""
-    return _let(_get(v, field.name), lambda x: _let(F.struct(x.alias("x"), _kind(x).alias("kind"), F.try_variant_get(x, "$", "string").alias("text")), lambda s: _judged(s, field, path)))
+#: How a field of each kind is read; texts of RAW_TEXT as they stand.
+_WANT = {T.DoubleType: "number", T.IntegerType: "whole"}
 
 
-def _judged(s: Column, field: T.StructField, path: Column) -> Column:
-    x, kind, text = s["x"], s["kind"], s["text"]
+def _scalars(v: Column, fields: list[T.StructField], prefix: Column) -> Column:
+    """array<struct<number, whole, text, issue>>, one element a field.
+
+    All fields go through one lambda, so the plan does not grow by their number: each adds but its
+    name and the access to its value."""
+    asked = [F.struct(F.lit(f.name).alias("name"), F.lit("raw" if f.name in RAW_TEXT else _WANT.get(type(f.dataType), "text")).alias("want"), _get(v, f.name).alias("x")) for f in fields]
+    seen = F.transform(F.array(*asked), lambda s: F.struct(F.concat(prefix, s["name"]).alias("path"), s["want"].alias("want"), s["x"].alias("x"), _kind(s["x"]).alias("kind"), F.try_variant_get(s["x"], "$", "string").alias("text")))
+    return F.transform(seen, _judged)
+
+
+def _judged(s: Column) -> Column:
+    x, kind, text, want = s["x"], s["kind"], s["text"], s["want"]
     missing = x.isNull() | (kind == "VOID")
+    printed, nested = kind == "STRING", kind.isin("OBJECT", "ARRAY")
     numeric = kind.isin("BIGINT", "DOUBLE", "DECIMAL", "FLOAT", "INT", "TINYINT", "SMALLINT")
-    truth = F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0)
-    made = lambda value, error: F.struct(value.alias("value"), _problem(path, error, x).alias("issue"))
-    if isinstance(field.dataType, T.DoubleType):
+    plain = F.when(numeric, F.try_variant_get(x, "$", "double")).when(kind == "BOOLEAN", F.when(F.try_variant_get(x, "$", "boolean"), 1.0).otherwise(0.0))
 
-        def amount(n: Column) -> Column:
-            value = F.when(missing, None).when(kind == "STRING", n["value"]).when(kind == "BOOLEAN", truth).when(numeric, F.try_variant_get(x, "$", "double"))
-            return made(value, F.when(~missing, F.when((kind == "STRING") & n["invalid"], "float_parsing").when(kind.isin("OBJECT", "ARRAY"), "float_type")))
+    def made(n: Column) -> Column:
+        """n: the amount that a text prints, and the whole number."""
+        exact = F.when((n["whole"] == F.floor(n["whole"])) & (F.abs(n["whole"]) < 2**31), n["whole"].cast("int"))
+        amount = F.when(printed, n["amount"]["value"]).otherwise(n["plain"])
+        error = (
+            F.when(missing, None)
+            .when(want == "number", F.when(printed & n["amount"]["invalid"], "float_parsing").when(nested, "float_type"))
+            .when(want == "whole", F.when(exact.isNull(), F.when(nested, "int_type").when(numeric, "int_from_float").otherwise("int_parsing")))
+            .when(~printed, "string_type")
+        )
+        shown = F.when(printed & want.isin("text", "raw"), F.when(want == "raw", text).otherwise(to_text(text)))
+        return F.struct(F.when((want == "number") & ~missing, amount).alias("number"), F.when((want == "whole") & ~missing, exact).alias("whole"), shown.alias("text"), _let(error, lambda e: _problem(s["path"], e, x)).alias("issue"))
 
-        return _let(to_number(text), amount)
-    if isinstance(field.dataType, T.IntegerType):
-        number = F.when(numeric, F.try_variant_get(x, "$", "double")).when(kind == "BOOLEAN", truth).when((kind == "STRING") & strip(text).rlike("^[+-]?[0-9]+$"), strip(text).try_cast("double"))
+    whole = F.when(printed & strip(text).rlike("^[+-]?[0-9]+$"), strip(text).try_cast("double")).otherwise(plain)
+    return _let(F.struct(F.when(want == "number", to_number(F.when(printed, text))).alias("amount"), plain.alias("plain"), F.when(want == "whole", whole).alias("whole")), made)
 
-        def whole(n: Column) -> Column:
-            value = F.when((n == F.floor(n)) & (F.abs(n) < 2**31), n.cast("int"))
-            return made(F.when(~missing, value), F.when(~missing & value.isNull(), F.when(kind.isin("OBJECT", "ARRAY"), "int_type").when(numeric, "int_from_float").otherwise("int_parsing")))
 
-        return _let(number, whole)
-    value = text if field.name in RAW_TEXT else to_text(text)
-    return made(F.when(kind == "STRING", value), F.when(~missing & (kind != "STRING"), "string_type"))
+def _value(parts: Column, fields: list[T.StructField], field: T.StructField) -> Column:
+    part = {T.DoubleType: "number", T.IntegerType: "whole"}.get(type(field.dataType), "text")
+    return F.get(parts, F.lit(fields.index(field)))[part].alias(field.name)
 
 
 def _problem(path: Column, error: Column, v: Column) -> Column:
@@ -75,14 +88,17 @@ def _lines(array: Column, field: T.StructField) -> Column:
 
     def one(e: Column, i: Column) -> Column:
         at = F.concat(F.lit(f"{field.name}."), i.cast("string"))
-        parts = F.struct(*[_scalar(e, f, F.concat(at, F.lit(f".{f.name}"))).alias(f.name) for f in fields])
         bad = F.struct(F.lit(None).cast(field.dataType.elementType).alias("line"), F.array(_problem(at, F.lit("model_type"), e)).alias("issues"))
-        good = lambda p: F.struct(F.struct(*[p[f.name]["value"].alias(f.name) for f in fields]).alias("line"), F.array_compact(F.array(*[p[f.name]["issue"] for f in fields])).alias("issues"))
-        return F.when(F.coalesce(_kind(e) == "OBJECT", F.lit(False)), _let(parts, good)).otherwise(bad)
+        good = lambda p: F.struct(F.struct(*[_value(p, fields, f) for f in fields]).alias("line"), _issues(p).alias("issues"))
+        return F.when(F.coalesce(_kind(e) == "OBJECT", F.lit(False)), _let(_scalars(e, fields, F.concat(at, F.lit("."))), good)).otherwise(bad)
 
     return F.transform(array, one)
 
 
+def _issues(parts: Column) -> Column:
+    return F.array_compact(F.transform(parts, lambda p: p["issue"]))
+
+
 def coerce(json: Column, schema: T.StructType) -> Column:
     """struct<doc, issues> of a JSON text; doc is null if it is no object."""
     no_issues = F.array().cast(T.ArrayType(ISSUE))
@@ -90,13 +106,12 @@ def coerce(json: Column, schema: T.StructType) -> Column:
     lists = [f for f in schema.fields if isinstance(f.dataType, T.ArrayType)]
 
     def parts(v: Column) -> Column:
-        out = [_scalar(v, f, F.lit(f.name)).alias(f.name) for f in scalars] + [_list(v, f).alias(f.name) for f in lists]
-        return F.struct(*out, F.coalesce(_kind(v) == "OBJECT", F.lit(False)).alias("_is_object"))
+        return F.struct(_scalars(v, scalars, F.lit("")).alias("_scalars"), *[_list(v, f).alias(f.name) for f in lists], F.coalesce(_kind(v) == "OBJECT", F.lit(False)).alias("_is_object"))
 
     def result(p: Column) -> Column:
-        doc = F.struct(*[(p[f.name]["value"] if f in scalars else p[f.name]["lines"]).alias(f.name) for f in schema.fields])
-        own = F.array_compact(F.array(*[p[f.name]["issue"] for f in schema.fields]))
-        found = F.concat(own, *[p[f.name]["issues"] for f in lists], no_issues)
+        doc = F.struct(*[_value(p["_scalars"], scalars, f) if f in scalars else p[f.name]["lines"].alias(f.name) for f in schema.fields])
+        own = _issues(p["_scalars"])
+        found = F.concat(own, *[F.array_compact(F.array(p[f.name]["issue"])) for f in lists], *[p[f.name]["issues"] for f in lists], no_issues)
         wrong = F.array(issue("not_an_object", "error", None, "the answer is no JSON object"))
         return F.struct(F.when(p["_is_object"], doc).alias("doc"), F.when(p["_is_object"], found).otherwise(wrong).alias("issues"))
 

@@ -88,7 +88,8 @@ def test_compare_and_service(spark, tmp_path):
     assert saved["a"].status == "approved" and saved["c"].status == "pending_review"
     assert service.documents(status="pending_review").count() == 1 and service.health()["database"]
     one = saved["c"].id
-    assert service.approve(one, '{"total": 3, "merchant_name": "X"}', "me") == 2 and service.approve(one, None, "me") == 0
+    # The third change: the empty list of items is gone.
+    assert service.approve(one, '{"total": 3, "merchant_name": "X"}', "me") == 3 and service.approve(one, None, "me") == 0
     assert service.document(one).first().status == "approved"
     for call, code in (
         (lambda: service.document("x"), "bad_document_id"), (lambda: service.document(str(uuid.uuid4())), "not_found"), (lambda: service.extract(texts, "memo"), "unknown_doc_type"),
