@@ -328,3 +328,35 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+#: Equal sets first become one class; the least node of a component has no lesser neighbour, so only
+#: such nodes are spread along the links.
+OP1_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS s
+  FROM texts
+), keyed AS (
+  SELECT doc_id, len(s) AS n, md5(array_to_string(s, chr(10))) AS h, s FROM sets
+), classes AS (
+  SELECT h, n, min(doc_id) AS cls, any_value(s) AS s FROM keyed WHERE n > 0 AND doc_id IS NOT NULL GROUP BY h, n
+), members AS (
+  SELECT cls, n, unnest(s) AS shingle FROM classes
+), links AS (
+  SELECT x.cls AS a, y.cls AS b FROM members x JOIN members y USING (shingle)
+  WHERE x.cls <> y.cls AND 100 * least(x.n, y.n) >= 90 * greatest(x.n, y.n)
+  GROUP BY x.cls, y.cls, x.n, y.n HAVING 100 * count(*) >= 90 * (x.n + y.n - count(*))
+), reach AS (
+  SELECT cls AS node, cls AS least FROM classes WHERE cls NOT IN (SELECT a FROM links WHERE b < a)
+  UNION
+  SELECT l.b, r.least FROM reach r JOIN links l ON l.a = r.node
+), least_of AS (
+  SELECT node, min(least) AS component_id FROM reach GROUP BY node
+)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
+FROM keyed k LEFT JOIN classes c ON c.h = k.h AND c.n = k.n AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least_of m ON m.node = c.cls
+"""

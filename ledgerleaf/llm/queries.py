@@ -21,6 +21,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_jaccard_join": jaccard.OP1_SQL,
+    "op2_secret_scan": secrets.OP2_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
     "op10_url_filter": urlfilter.OP10_SQL,

@@ -364,3 +364,37 @@ def digest(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")), ("assign", "access", "hex"))
+
+
+def _spans_sql(number: int, rule: Rule) -> str:
+    """The matches of one rule: marked in the text, which is then cut at the marks."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    tail = f"regexp_replace(found, {quoted('^' + rule.head)}, '')" if rule.head else "found"
+    return rf"""
+  SELECT rid, {number} AS rule, '{rule.kind}' AS kind, {str(rule.base).lower()} AS base, start, start + length(found) AS stop FROM (
+    SELECT rid, split_part(part, chr(1114108), 1) AS found,
+      (sum(length(part) - (nth > 1)::INT) OVER (PARTITION BY rid ORDER BY nth) - length(part) + 1)::BIGINT AS start, nth
+    FROM (
+      SELECT rid, unnest(parts) AS part, generate_subscripts(parts, 1) AS nth FROM (
+        SELECT rid, string_split(regexp_replace(text, {quoted(f"({rule.head}{rule.tail})")}, chr(1114109) || '\1' || chr(1114108), 'g'), chr(1114109)) AS parts
+        FROM texts
+      )
+    )
+  ) WHERE nth > 1 AND length({tail}) >= {rule.least}"""
+
+
+_WRITTEN = "kind || ':' || start || ':' || stop, ',' ORDER BY start, rule"
+
+OP2_SQL = f"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), found AS ({" UNION ALL ".join(_spans_sql(i, r) for i, r in enumerate(RULES))}
+), written AS (
+  SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ("assign", "access", "hex"))},
+    string_agg({_WRITTEN}) FILTER (base) AS base, string_agg({_WRITTEN}) AS spans
+  FROM found GROUP BY rid
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in ("assign", "access", "hex"))},
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN written USING (rid)
+"""
