@@ -6,14 +6,14 @@ as that reader sees only the first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import pixels
+from ledgerleaf.functions import jpeg, pixels
 
 PAGE = "path string, page int, pages int, height int, width int, data binary, note string"
 
@@ -75,17 +75,27 @@ def clean_pages(pages: DataFrame, crop: bool = True, straighten: bool = True, li
     return pages.mapInPandas(run, PAGE)
 
 
-def render_pages(pages: DataFrame) -> DataFrame:
-    """(path, page, png): each page as an engine sees it; those that cannot be encoded are left out."""
+def _encoded(pages: DataFrame, name: str, encode: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(path, page, <name>): those that cannot be encoded are left out."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 try:
-                    made = pixels.encode_png(_image(row)) if row.data is not None else None
+                    made = encode(_image(row)) if row.data is not None else None
                 except ValueError:
                     made = None
                 if made is not None:
-                    yield pd.DataFrame({"path": [row.path], "page": [int(row.page)], "png": [made]})
+                    yield pd.DataFrame({"path": [row.path], "page": [int(row.page)], name: [made]})
+
+    return pages.mapInPandas(run, f"path string, page int, {name} binary")
+
+
+def render_pages(pages: DataFrame) -> DataFrame:
+    """(path, page, png): each page as an engine sees it, without loss."""
+    return _encoded(pages, "png", pixels.encode_png)
+
 
-    return pages.mapInPandas(run, "path string, page int, png binary")
+def wire_pages(pages: DataFrame, longest: int = 1800, quality: int = 90) -> DataFrame:
+    """(path, page, jpeg): each page as it is sent to a model."""
+    return _encoded(pages, "jpeg", lambda image: jpeg.wire_jpeg(image, longest, quality))
