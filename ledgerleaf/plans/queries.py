@@ -467,3 +467,55 @@ def corrections_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of the corrections table: the engine is copied from the document at review time."""
     engine = F.when(F.col("k") % 2 == 0, "traditional").otherwise("vlm").alias("engine")
     return _changes(spark, sf_dir).select(engine, "k", "path", *_split("old", "old"), *_split("new", "new"))
+
+
+# --- review, images, streams
+
+
+@query("SELECT p_partkey, (p_size % 3 = 0 OR p_size % 5 <> 0)::INT + (p_size % 2 = 0)::INT AS n_items FROM part")
+def drop_blank_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.review import drop_blank_items as drop
+    from ..types import LINE_ITEM
+
+    at = lambda test, value: F.when(F.expr(test), value)
+    named = F.struct(at("p_size % 3 = 0", F.col("p_name")).otherwise("").alias("description"), (F.col("p_size") % 5).cast("double").alias("quantity"))
+    other = F.struct(F.lit("").alias("description"), at("p_size % 2 = 0", F.lit(1.5)).otherwise(0.0).alias("quantity"))
+    kept = [f for f in LINE_ITEM.fields if f.name in ("description", "quantity")]
+    return _table(spark, sf_dir, "part").select("p_partkey", F.size(drop(F.array(named, other), type(LINE_ITEM)(kept))).alias("n_items"))
+
+
+@query(f"{fx.CTE}, {_A}, {_B} SELECT k, path FROM ({_COMPARE_SQL}) WHERE NOT agree")
+def compare_disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.review import disagreements
+
+    return disagreements(paths.compare(_answers(spark, sf_dir), "k")).select("k", "path")
+
+
+@query("SELECT vec_id, 'ffd8ff' AS head, 16 AS height, len(embedding)::INT AS width FROM embeddings")
+def wire_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors drawn as gray stripes and sent as JPEG; height and width as the files give them."""
+    from ..operators.pages import wire_pages as encode
+
+    row = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.pmod(F.floor(x * 100), F.lit(256))), 2, "0")), "")
+    drawn = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("path"), F.lit(1).alias("page"), F.lit(1).alias("pages"), F.lit(16).alias("height"), F.size("embedding").alias("width"),
+        F.unhex(F.repeat(row, F.lit(16))).alias("data"), F.lit(None).cast("string").alias("note"),
+    )
+    # Where the frame's size stands: after the first header and two quantisation tables.
+    at = lambda i: F.conv(F.hex(F.substring("jpeg", i, 2)), 16, 10).cast("int")
+    return encode(drawn).select(F.col("path").cast("long").alias("vec_id"), F.lower(F.hex(F.substring("jpeg", 1, 3))).alias("head"), at(164).alias("height"), at(166).alias("width"))
+
+
+@query()
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of the files, ingested by a stream that ends when it has read what is there."""
+    import tempfile
+    import uuid
+
+    from ..sources.files import file_name
+    from ..streaming.ingest import hashed, watch
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
+    place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    watch(spark, sf_dir, hashed, f"{place}/out", f"{place}/state", "{region,nation}.parquet").awaitTermination()
+    return spark.read.parquet(f"{place}/out").select(file_name(F.col("path")).alias("name"), "length", "content_hash")

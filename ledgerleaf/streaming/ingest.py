@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch(spark: SparkSession, folder: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Run ``process`` on what has come since the last run.  The checkpoint remembers files, so a
+def watch(spark: SparkSession, folder: str, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, glob: str = "*") -> StreamingQuery:
+    """Run ``process`` on files (whose names fit ``glob``) that have come since the last run.  The checkpoint remembers files, so a
     restarted run reads none twice; a batch overwrites its own output, so a repeated one adds nothing."""
-    source = spark.readStream.format("binaryFile").schema(_FILES).load(folder)
+    source = spark.readStream.format("binaryFile").schema(_FILES).option("pathGlobFilter", glob).load(folder)
 
     def write(batch: DataFrame, number: int) -> None:
         process(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
