@@ -41,8 +41,9 @@ from .textkit import NOT_SPACE, mix, shingles, text_buffer, words_of
 SKETCH_BITS, ROW = 21, 4096
 #: Groups that one list of a shingle may hold before it is dealt out in blocks.
 LIST = 2048
-#: Bits of the filter that tells which documents' full sets are needed.
-NEEDED_BITS = 24
+#: Size, as a power of two, of the bit filter that tells which documents' full sets are needed: the
+#: least, and the most that is broadcast (32 MB).  For more documents than that serves, they are joined.
+NEEDED_BITS, MOST_BITS = 24, 28
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -238,38 +239,46 @@ def candidate_pairs(lists: DataFrame, num: int, den: int, across: bool) -> DataF
     return lists.mapInArrow(search, PAIRS)
 
 
-def _needed(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits, set for each id's hash; others may have set them too."""
-    bits = np.zeros(1 << (NEEDED_BITS - 6), np.uint64)
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << NEEDED_BITS))
+def _needed(ids: DataFrame, size: int) -> np.ndarray:
+    """2**size bits, set for each id's hash; others may have set them too."""
+    bits = np.zeros(1 << (size - 6), np.uint64)
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << size))
     words = ids.select(F.shiftright(slot, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
     got = words.toArrow()
     bits[got["word"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
     return bits
 
 
-def full_sets(docs: DataFrame, size: int, ids: DataFrame) -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` (and, by the filter's mistakes, some others)."""
-    held = docs.sparkSession.sparkContext.broadcast(_needed(ids))
+def full_sets(docs: DataFrame, size: int, ids: DataFrame, most: int) -> DataFrame:
+    """(id, shingles) of the documents in ``ids`` (and, by the filter's mistakes, some others);
+    there are at most ``most`` ids, of which the filter has eight bits each."""
+    bits = max(NEEDED_BITS, (8 * most).bit_length())
+    source = _source(docs).filter("doc_id IS NOT NULL")
+    if bits <= MOST_BITS:
+        held = docs.sparkSession.sparkContext.broadcast(_needed(ids, bits))
+        source = source.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits)))
+    else:
+        held = None
+        source = source.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((held.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            if held is not None:
+                slot = batch.column(2).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((held.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             if len(batch):
                 got = _sets(batch, size)
                 cut = np.zeros(len(got) + 1, np.int32)
                 np.cumsum([len(s) for s in got], out=cut[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(got).view(np.int64)))], names=["id", "shingles"])
 
-    source = _source(docs).filter("doc_id IS NOT NULL").withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(1 << NEEDED_BITS)))
     return source.mapInArrow(run, "id long, shingles array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+    """The pairs (a, b), a written table, whose sets are similar enough."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = full_sets(docs, size, ids)
+    sets = full_sets(docs, size, ids, 2 * pairs.count())
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y")).cast("long")

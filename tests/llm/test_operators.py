@@ -57,6 +57,7 @@ def test_jaccard_finds_all_components(spark, docs, clash, monkeypatch, size, num
     if limit:  # short lists, so that lists are dealt in blocks
         monkeypatch.setattr(jaccard, "LIST", limit)
         monkeypatch.setattr(jaccard, "SKETCH_BITS", 14)
+        monkeypatch.setattr(jaccard, "MOST_BITS", 0)  # and the documents to verify are joined
     got = jaccard.near_duplicates(clash, size, num, 100).collect()
     expected = components(corpus(), size, num, 100)
     assert len(got) == docs.count()
