@@ -18,6 +18,10 @@ different components follow.  So a large group of near copies costs a few links
 link that would join two components is lost.  Shingles held by very many documents are dealt out in
 pairs of blocks.
 
+``near_duplicates`` wants components only and stops there.  ``near_links`` and ``near_pairs`` keep
+every link: each lies within a component, so the classes of a component are dealt in blocks and each
+pair of blocks is verified whole on the full sets, in one task of bounded size.
+
 Null and empty texts have an empty set and are linked with nothing.  A null doc_id is linked with
 nothing and has a null component; rows that repeat a doc_id count as that one document.  Columns
 other than doc_id and text are ignored.  An empty table gives an empty result.
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh, materialise, table
@@ -41,6 +45,8 @@ from .textkit import NOT_SPACE, mix, shingles, text_buffer, words_of
 SKETCH_BITS, ROW = 21, 4096
 #: Groups that one list of a shingle may hold before it is dealt out in blocks.
 LIST = 2048
+#: Classes of one component that make a block; each pair of blocks is a cell, verified at once.
+CELL = 256
 #: Size, as a power of two, of the bit filter that tells which documents' full sets are needed: the
 #: least, and the most that is broadcast (32 MB).  For more documents than that serves, they are joined.
 NEEDED_BITS, MOST_BITS = 24, 28
@@ -286,17 +292,18 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -
     return both.filter(F.col("s") * den >= (F.col("t") - F.col("s")) * num).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of (doc_id, text): documents link when
-    den * |intersection| >= num * |union| of their shingles of ``size`` words."""
+_KEY = ["h1", "h2", "n"]
+
+
+def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and (h1, h2, n, cls, component_id) of each class of equal sets."""
     if not (0 < num <= den) or size < 1:
         raise ValueError("the threshold must lie in (0, 1] and shingles have a word")
     sketch = count_sketch(docs, size)
     found = materialise(features(docs, size, num, den, sketch))
 
-    key = ["h1", "h2", "n"]
     firsts = [F.first(k).alias(k) for k in ("g", "m0", "m1", "m2", "m3")]
-    classes = materialise(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("cls"), *firsts))
+    classes = materialise(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*_KEY).agg(F.min("doc_id").alias("cls"), *firsts))
     sums = classes.groupBy("g", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("members"), *firsts[1:])
     groups = sums.join(found.select(F.col("doc_id").alias("gid"), "g", "n", "prefix", "parts"), ["gid", "g", "n"])
     several = classes.join(sums.filter("members > 1").select("g", "n", "gid"), ["g", "n"]).select("gid", "cls")
@@ -320,13 +327,101 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         if not more.isEmpty():
             joined = connected(links.unionAll(verified(docs, more, size, num, den)))
 
-    labels = classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(*key, F.coalesce("component", "cls").alias("component_id"))
-    rows = found.select("doc_id", *key)
-    linked = rows.filter("n > 0 AND doc_id IS NOT NULL").join(labels, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return found, classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
+
+
+def _by_row(found: DataFrame, labels: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(doc_id, n_shingles, component_id) and the other columns of ``labels``, for each row;
+    ``columns`` has what they are where a row has no class."""
+    rows = found.select("doc_id", *_KEY)
+    head = ["doc_id", F.col("n").alias("n_shingles")]
+    linked = rows.filter("n > 0 AND doc_id IS NOT NULL").join(labels, _KEY).select(*head, "component_id", *columns)
+    alone = rows.filter("NOT (n > 0 AND doc_id IS NOT NULL)").select(*head, F.col("doc_id").alias("component_id"), *[c.alias(k) for k, c in columns.items()])
     return linked.unionAll(alone)
 
 
+def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of (doc_id, text): documents link when
+    den * |intersection| >= num * |union| of their shingles of ``size`` words."""
+    found, labels = _joined(docs, size, num, den)
+    return _by_row(found, labels.select(*_KEY, "component_id"), {})
+
+
+def _linked(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossed: bool, num: int, den: int) -> np.ndarray:
+    """Rows (a, b), a < b, of the ids whose sets are similar enough; if ``crossed``, of different blocks."""
+    n = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), n)
+    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # Only what two sets hold can be shared; it goes through a dense table, some columns at a time.
+    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared, wide = np.zeros((len(sets), len(sets)), np.int64), 8192
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
+        a, b = np.searchsorted(column, [low, low + wide])
+        dense = np.zeros((len(sets), min(wide, int(column[-1]) + 1 - low)), np.float32)
+        dense[row[a:b], column[a:b] - low] = 1
+        shared += (dense @ dense.T).astype(np.int64)
+    ok = shared * den >= (n[:, None] + n[None, :] - shared) * num
+    if crossed:
+        ok &= block[:, None] != block[None, :]
+    i, j = np.nonzero(np.triu(ok, 1))
+    i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+    return np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
+
+
+def _all_links(docs: DataFrame, labels: DataFrame, size: int, num: int, den: int, count: bool) -> DataFrame:
+    """Every link between classes, once, as (a, b); with ``count``, as (a, b = its links) summed over a cell."""
+    members = labels.groupBy("component_id").agg(F.count("*").alias("held")).filter("held > 1")
+    several = materialise(labels.join(members, "component_id").select("cls", "component_id", F.ceil(F.col("held") / CELL).cast("int").alias("parts")).distinct())
+    sets = full_sets(docs, size, several.select(F.col("cls").alias("id")), several.count())
+    own = several.join(sets, F.col("cls") == F.col("id")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
+    dealt = own.select("component_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "cls", "shingles")
+    cells = dealt.select("component_id", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls", "shingles")
+    cells = cells.repartition("component_id", "low", "high").sortWithinPartitions("component_id", "low", "high")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple[int, int, np.ndarray]] = []
+        cell: tuple | None = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if len(waiting) < 2:
+                return
+            ids, block, held = zip(*waiting)
+            found = _linked(np.array(ids), np.array(block), list(held), cell[1] != cell[2], num, den)
+            if count:
+                found = np.column_stack(np.unique(found, return_counts=True))
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(5)]
+            for i, (component, low, high, block, cls) in enumerate(zip(*columns)):
+                if (component, low, high) != cell:
+                    yield from done()
+                    waiting, cell = [], (component, low, high)
+                waiting.append((cls, block, batch.column(5)[i].values.to_numpy().copy()))
+        yield from done()
+
+    return cells.mapInArrow(verify, "a long, b long")
+
+
+def near_links(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """What ``near_duplicates`` gives, with class_id, the least document of an equal set, and n_links,
+    how many other classes that one is linked with; no link is left out."""
+    found, labels = _joined(docs, size, num, den)
+    labels = materialise(labels)
+    links = _all_links(docs, labels, size, num, den, True).groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("n_links"))
+    whole = labels.join(links, "cls", "left").select(*_KEY, "component_id", F.col("cls").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return _by_row(found, whole, {"class_id": F.col("doc_id"), "n_links": F.lit(0).cast("long")})
+
+
+def near_pairs(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(a, b), a < b, of all pairs of classes that are linked; ``near_links`` tells each row's class."""
+    return _all_links(docs, materialise(_joined(docs, size, num, den)[1]), size, num, den, False)
+
+
 def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with only the least doc_id of each component; rows of a null doc_id stay."""
     found = near_duplicates(docs, size, num, den)
@@ -339,6 +434,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_links(table(spark, sf_dir, "documents"), 3, 90, 100)
+
+
 #: Equal sets first become one class; the least node of a component has no lesser neighbour, so only
 #: such nodes are spread along the links.
 OP1_SQL = r"""
@@ -369,3 +468,12 @@ WITH RECURSIVE texts AS (
 SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
 FROM keyed k LEFT JOIN classes c ON c.h = k.h AND c.n = k.n AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least_of m ON m.node = c.cls
 """
+
+#: The same with each class and the number of its links.
+OP1_LINKS_SQL = (
+    OP1_SQL.rpartition("SELECT k.doc_id")[0]
+    + """SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id, coalesce(c.cls, k.doc_id) AS class_id, coalesce(d.n_links, 0) AS n_links
+FROM keyed k LEFT JOIN classes c ON c.h = k.h AND c.n = k.n AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least_of m ON m.node = c.cls
+LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) d ON d.a = c.cls
+"""
+)

@@ -8,7 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
-from plain import components, contamination, pii, quality, secrets, sha
+from plain import components, contamination, pii, quality, secrets, sets, sha
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import decontaminate, jaccard, licenses, linededup, packing, quality as rules, sharding, urlfilter
@@ -79,6 +79,33 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == components(rows, 3, 90, 100)
 
 
+def test_jaccard_keeps_every_link(spark, monkeypatch):
+    """Many near copies of one text, in several blocks, with an equal copy and a repeated row."""
+    monkeypatch.setattr(jaccard, "CELL", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(0, " ".join(base)), (1, " ".join(base)), (2, ""), (None, " ".join(base))]
+    for i in range(3, 80):
+        words = list(base)
+        words[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    rows.append(rows[-1])
+    held = sets([r for r in rows if r[0] is not None], 3)
+    first = {}
+    for d in sorted(held):
+        first.setdefault(held[d], d)
+    ids = sorted(first[s] for s in first if s)
+    pairs = {(a, b) for a in ids for b in ids if a < b and 100 * len(held[a] & held[b]) >= 90 * len(held[a] | held[b])}
+    assert len(pairs) > 2000
+    assert sorted(map(tuple, jaccard.near_pairs(frame(spark, rows), 3, 90, 100).collect())) == sorted(pairs)
+    got = jaccard.near_links(frame(spark, rows), 3, 90, 100).collect()
+    assert len(got) == len(rows)
+    links = lambda d: sum(d in p for p in pairs)
+    for r in got:
+        c = first.get(held.get(r.doc_id)) if held.get(r.doc_id) else r.doc_id
+        assert (r.class_id, r.n_links) == (c, links(c) if held.get(r.doc_id) else 0)
+
+
 def test_keep_one_keeps_columns_and_one_of_each(docs, clash):
     kept = jaccard.keep_one(clash)
     assert kept.columns == clash.columns
