@@ -2,7 +2,8 @@
 
 The windows of ``size`` consecutive words of every test item (all its words, if they are fewer) go
 into a hash set whose size is counted first; a set beyond ``limit`` windows is cut into blocks, and
-each block scans the corpus in its turn.  Documents are hashed where Arrow holds them; a bit table
+each block scans the corpus as it came, and what the blocks find is brought together by row before
+anything is cut or dropped.  Documents are hashed where Arrow holds them; a bit table
 turns away nearly all windows, binary search most others, and what is left is compared word by
 word with the item's own text.
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, table
+from .common import bounded_batches, fresh, materialise, table
 from .textkit import ALNUM, FOLD, text_buffer, windows, words_of
 
 SIZE = 10
@@ -161,7 +162,7 @@ def find_contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, limi
     return _merged(source.withColumn("row_key", F.monotonically_increasing_id()), "row_key", blocks, spark)
 
 
-def _merged(source: DataFrame, key: str, blocks: list[NgramSet], spark: SparkSession) -> DataFrame:
+def _merged(source: DataFrame, key: str, blocks: list[NgramSet], spark: SparkSession, keep_key: bool = False) -> DataFrame:
     source = materialise(source)
     schema = f"{key} long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -190,7 +191,7 @@ def _merged(source: DataFrame, key: str, blocks: list[NgramSet], spark: SparkSes
     empty = F.array().cast("array<struct<start:long,end:long>>")
     step = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x)))
     spans = F.aggregate("spans", empty, step)
-    return joined.withColumn("spans", F.when(F.size("spans") > 0, spans).otherwise(empty)).select("doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit"), "items", "spans")
+    return joined.withColumn("spans", F.when(F.size("spans") > 0, spans).otherwise(empty)).select(*[key] * keep_key, "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit"), "items", "spans")
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, limit: int = LIMIT, drop_from: float = 0.5) -> DataFrame:
@@ -198,37 +199,59 @@ def remove_contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, li
     hit, goes whole.  Rows without a hit come back as they are."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    for grams in _blocks(items, size, limit):
-        held = spark.sparkContext.broadcast(grams)
-        schema = docs.schema
+    blocks = _blocks(items, size, limit)
+    if len(blocks) > 1:
+        return _cut_merged(docs, blocks, drop_from, spark)
+    held = spark.sparkContext.broadcast(blocks[0])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                data, offsets, start, end, first, runs, _ = _scan(batch, held.value)
-                if not runs:
-                    yield batch
-                    continue
-                keep, new = np.ones(len(batch), bool), {}
-                for row, own in runs.items():
-                    spans = _covered(own)
-                    if sum(b - a for a, b in spans) >= drop_from * (first[row + 1] - first[row]):
-                        keep[row] = False
-                        continue
-                    at, parts = int(offsets[row]), []
-                    for a, b in spans:
-                        parts.append(data[at : start[a]].tobytes())
-                        at = int(end[b - 1])
-                    new[row] = b"".join([*parts, data[at : int(offsets[row + 1])].tobytes()]).decode("utf-8", "replace")
-                i = batch.schema.get_field_index("text")
-                texts = batch.column(i).to_pylist()
-                for row, t in new.items():
-                    texts[row] = t
-                columns = list(batch.columns)
-                columns[i] = pa.array(texts, batch.schema.field(i).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets, start, end, first, runs, _ = _scan(batch, held.value)
+            yield _cut(batch, data, offsets, start, end, first, {row: _covered(own) for row, own in runs.items()}, drop_from)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _cut(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, runs: dict[int, list[tuple[int, int]]], drop_from: float) -> pa.RecordBatch:
+    """The batch without the disjoint ``runs`` of words of its rows."""
+    if not runs:
+        return batch
+    keep, new = np.ones(len(batch), bool), {}
+    for row, spans in runs.items():
+        if sum(b - a for a, b in spans) >= drop_from * (first[row + 1] - first[row]):
+            keep[row] = False
+            continue
+        at, parts = int(offsets[row]), []
+        for a, b in spans:
+            parts.append(data[at : start[a]].tobytes())
+            at = int(end[b - 1])
+        new[row] = b"".join([*parts, data[at : int(offsets[row + 1])].tobytes()]).decode("utf-8", "replace")
+    i = batch.schema.get_field_index("text")
+    texts = batch.column(i).to_pylist()
+    for row, t in new.items():
+        texts[row] = t
+    columns = list(batch.columns)
+    columns[i] = pa.array(texts, batch.schema.field(i).type)
+    return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+
+
+def _cut_merged(docs: DataFrame, blocks: list[NgramSet], drop_from: float, spark: SparkSession) -> DataFrame:
+    """Each block scans the texts as they came; a row's runs of all blocks are cut at once."""
+    key, spans = fresh(docs, "row_key"), fresh(docs, "hit_spans")
+    source = materialise(docs.withColumn(key, F.monotonically_increasing_id()))
+    plain = source.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row_key"))
+    found = _merged(plain, "row_key", blocks, spark, keep_key=True).filter("n_hit > 0").select(F.col("row_key").alias(key), F.col("spans").alias(spans))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(len(batch.schema) - 1).to_pylist()
+            batch = batch.select(list(range(len(batch.schema) - 1)))
+            data, offsets = text_buffer(batch.column(batch.schema.get_field_index("text")))
+            _, start, end, first = words_of(data, offsets, ALNUM)
+            runs = {row: [(x["start"] + int(first[row]), x["end"] + int(first[row])) for x in s] for row, s in enumerate(own) if s}
+            yield _cut(batch, data, offsets, start, end, first, runs, drop_from)
+
+    return source.join(found, key, "left").select(*[F.col(f"`{c}`") for c in docs.columns], F.col(spans)).mapInArrow(run, docs.schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

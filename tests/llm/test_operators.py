@@ -215,6 +215,19 @@ def test_contamination(spark, clash, monkeypatch):
     assert decontaminate.find_contamination(clash, bench.limit(0)).filter("n_hit > 0").isEmpty()
 
 
+def test_contamination_is_cut_alike_in_several_blocks(spark):
+    """Passages whose windows fall into different blocks, and a document that is half benchmark."""
+    passages = [" ".join(f"p{k}q{i}" for i in range(30)) for k in range(6)]
+    bench = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    free = lambda n: " ".join(f"f{i}" for i in range(n))
+    rows = [(k, f"{free(50)}, {p}; {free(40)}.") for k, p in enumerate(passages)] + [(10, f"{free(30)} {passages[0]}"), (11, free(20)), (None, None), (12, passages[1])]
+    whole = decontaminate.remove_contamination(frame(spark, rows), bench).collect()
+    parts = decontaminate.remove_contamination(frame(spark, rows), bench, limit=20).collect()
+    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+    assert {r.doc_id for r in parts} == {*range(6), 11, None}
+    assert not any("q" in (r.text or "") for r in parts)
+
+
 def test_line_dedup_keeps_first_and_drops_later_repeats(spark, clash):
     texts = corpus()
     got = linededup.drop_repeats(clash, drop_emptied=False)
