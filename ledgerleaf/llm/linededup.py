@@ -7,10 +7,15 @@ line (at least the line's own), the one of least hash is selected: so two docume
 run of at least ``window_words`` words have a selected gram of that run in common.
 
 The earliest holder of each gram (by doc_id, then line) is its origin.  Every later occurrence is
-matched with the origin only, one pair an occurrence, and extended over equal lines in both
+matched with the origin, one pair an occurrence, and extended over equal lines in both
 directions; what the pair has in common is a later repeated run and is deleted.  A deleted line
 always has an equal one at an earlier place, so the first of them stays.
 
+Others may share more with an occurrence than its origin does: they end beside the same line of the
+origin and go on with the same next line.  The occurrences of such an edge are matched with the
+earliest of them in the same way, and so on until no two occurrences share an edge.  So whatever
+any earlier document shares around a gram is deleted, still at one pair an occurrence and round.
+
 Null and empty texts come back as they are; rows of a null doc_id are neither matched nor changed;
 rows that repeat a doc_id count as that one document and are all changed alike.  Other columns are
 kept by ``drop_repeats``, whatever their names.
@@ -106,14 +111,20 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, hashes array<long>, words array<int>, numbers array<int>")
 
 
+_RUNS = "doc_id long, first int, last int, right boolean, origin long, beside long, next long, line long"
+
+
 def _extend(pairs: DataFrame, gram_words: int) -> DataFrame:
-    """(doc_id, first, last): the runs (as lines of the text) around the seeds of each pair."""
+    """(doc_id, first, last): the runs (as lines of the text) around the seeds of each pair; and in
+    rows without those, their edges: (right, origin, the origin's line beside it, hash of the next
+    line, that line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             column = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: E731,B023
             own, other, words, numbers, seeds = (column(k) for k in ("hashes", "other", "words", "numbers", "seeds"))
+            origins, sides = column("origin").to_pylist(), column("right").to_pylist()
             for i, (doc, shift) in enumerate(zip(column("doc_id").to_pylist(), column("shift").to_pylist())):
                 a, b = own[i].values.to_numpy(), other[i].values.to_numpy()
                 # Lines of the document that lie beside a line of the origin.
@@ -124,25 +135,47 @@ def _extend(pairs: DataFrame, gram_words: int) -> DataFrame:
                 for start, stop in zip(bounds[at] + 1, bounds[at + 1]):
                     if int(words[i].values.to_numpy()[start:stop].sum()) >= gram_words:
                         n = numbers[i].values.to_numpy()
-                        rows.append((doc, int(n[start]), int(n[stop - 1])))
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["doc_id", "first", "last"])
+                        rows.append((doc, int(n[start]), int(n[stop - 1]), None, None, None, None, None))
+                        for right, line in ((False, int(start) - 1), (True, int(stop))):
+                            if 0 <= line < len(a) and sides[i] in (None, right):
+                                rows.append((doc, None, None, right, origins[i], line - shift, int(a[line]), line))
+            columns = list(zip(*rows)) or [()] * 8
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[f.split()[0] for f in _RUNS.split(", ")])
 
-    return pairs.mapInArrow(run, "doc_id long, first int, last int")
+    return pairs.mapInArrow(run, _RUNS)
 
 
 def repeated_runs(docs: DataFrame, gram_words: int = GRAM_WORDS, window_words: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, gone): the later repeated runs of each document as (first, last) line numbers."""
     if not 0 < gram_words <= window_words:
         raise ValueError("a window must hold a gram")
-    marks = materialise(fingerprints(docs, gram_words, window_words))
-    origins = marks.groupBy("gram").agg(F.min(F.struct("doc_id", "line")).alias("o"), F.count("*").alias("held")).filter("held > 1").select("gram", "o")
-    # One pair for each later occurrence, never pairs among the occurrences.
-    later = marks.join(origins, "gram").filter("doc_id <> o.doc_id OR line <> o.line")
-    pairs = later.groupBy("doc_id", F.col("o.doc_id").alias("origin"), (F.col("line") - F.col("o.line")).alias("shift")).agg(F.collect_set("line").alias("seeds"))
+    marks, key = materialise(fingerprints(docs, gram_words, window_words)).withColumn("right", F.lit(None).cast("boolean")), ["gram"]
     lines = materialise(line_table(docs).dropDuplicates(["doc_id"]))
-    joined = materialise(pairs).join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("origin"), F.col("hashes").alias("other")), "origin")
-    return _extend(joined, gram_words).groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    found = seen = None
+    while True:
+        # One pair for each later occurrence, never pairs among the occurrences.
+        origins = marks.groupBy(*key).agg(F.min(F.struct("doc_id", "line")).alias("o"), F.count("*").alias("held")).filter("held > 1").select(*key, "o")
+        later = marks.join(origins, key).filter("doc_id <> o.doc_id OR line <> o.line").select("doc_id", "line", "o", "right")
+        pairs = materialise(later.groupBy("doc_id", F.col("o.doc_id").alias("origin"), (F.col("line") - F.col("o.line")).alias("shift"), "right").agg(F.collect_set("line").alias("seeds")))
+        if found is not None and pairs.isEmpty():
+            break
+        joined = pairs.join(lines, "doc_id").join(lines.select(F.col("doc_id").alias("origin"), F.col("hashes").alias("other")), "origin")
+        runs = materialise(_extend(joined, gram_words))
+        own = runs.filter("first IS NOT NULL").select("doc_id", "first", "last")
+        found = own if found is None else found.unionAll(own)
+        key = ["right", "origin", "beside", "next"]
+        edges = runs.filter("first IS NULL").select(*key, "doc_id", "line").distinct()
+        if seen is None:
+            marks = seen = materialise(edges)
+            continue
+        # Each edge is followed once, with all that share it; so rounds end for text of one repeated line too.
+        new = materialise(edges.join(seen, [*key, "doc_id", "line"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen = seen.unionAll(new)
+        marks = seen.join(new.select(*key).distinct(), key, "left_semi")
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("gone"))
 
 
 def _kept_lines(text: Column, gone: Column) -> Column:

@@ -247,6 +247,21 @@ def test_line_dedup_keeps_first_and_drops_later_repeats(spark, clash):
     assert linededup.drop_repeats(clash).count() < len(texts)
 
 
+def test_line_dedup_goes_beyond_the_earliest_holder(spark):
+    """Earlier documents hold parts of passages that later ones share whole, in three steps."""
+    rng = random.Random(8)
+    line = lambda: " ".join(f"w{rng.getrandbits(40)}" for _ in range(rng.randint(5, 14)))
+    rows, passages = [], []
+    for k in range(60):
+        passage = [line() for _ in range(7)]
+        passages.append(passage)
+        parts = [passage[2:5], passage[1:6], passage, passage]
+        rows += [(10 * k + i, "\n".join([line(), *part, line()])) for i, part in enumerate(parts)]
+    left = {r.doc_id: r.text.split("\n") for r in linededup.drop_repeats(frame(spark, rows)).collect()}
+    assert not [d for d in left if d % 10 == 3 and len(left[d]) != 2 and sum(len(x.split()) for x in passages[d // 10]) >= 50]
+    assert all(sum(x in t for t in left.values()) >= 1 for p in passages for x in p)
+
+
 def test_winnow_guarantee():
     """Two texts that share a run of window_words words have a selected gram in common."""
     rng = random.Random(3)
