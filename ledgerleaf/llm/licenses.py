@@ -7,8 +7,11 @@ need frequencies, so what is gathered has the size of the templates' vocabulary;
 weighs as much as one that a single document has.  Passages without a rare word of a template
 cannot reach ``least`` (this is checked when the weights are fitted) and are passed over.
 
-A document whose licensed passages hold at least ``file_share`` of its words is a license file; its
-license holds for its directory.  A document without a license of its own inherits that of its
+Whole documents are compared with whole license texts in the same way, by logarithms of term counts
+(else common words would make any English text resemble a long one), and blocks of several lines,
+joined, with the notices.  A document that reaches ``least`` as a whole is a license file, and so is
+one whose licensed passages hold at least ``file_share`` of its words; its license holds for its
+directory.  A document without a license of its own inherits that of its
 nearest ancestor directory, found by a join on the paths of directories.
 
 Null and empty texts have no license of their own.  A null path is in no directory.  Repeated rows
@@ -18,6 +21,7 @@ are judged row by row.  Of several license files in one directory the one of the
 from __future__ import annotations
 
 import math
+import pkgutil
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,6 +43,8 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "SPDX-License-Identifier: BSD-3-Clause"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
 }
+#: Licenses whose whole texts are at hand, in license_texts/.
+WHOLE = ("Apache-2.0", "MIT", "GPL-3.0", "BSD-3-Clause", "MPL-2.0")
 LEAST = 0.7
 FILE_SHARE = 0.5
 #: A template word that under this share of the documents has, is rare.
@@ -51,21 +57,25 @@ def _hashes(texts: list[str]) -> list[list[int]]:
     return [h[a:b].tolist() for a, b in zip(first[:-1], first[1:])]
 
 
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    return {name: (pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode(),) for name in WHOLE}
+
+
 class Weights:
     """Template vectors under the corpus's inverse document frequencies."""
 
-    def __init__(self, documents: int, found: dict[int, int], templates: dict[str, tuple[str, ...]], least: float):
+    def __init__(self, documents: int, found: dict[int, int], templates: dict[str, tuple[str, ...]], least: float, damped: bool = False):
         idf = lambda n: math.log((1 + documents) / (1 + n)) + 1
         self.other = idf(1)
         forms = [(name, words) for name, texts in templates.items() for words in _hashes(list(texts))]
         self.idf = {w: idf(found.get(w, 0)) for _, words in forms for w in words}
-        self.least = least
+        self.least, self.damped = least, damped
         self.vectors: list[tuple[str, dict[int, float]]] = []
         self.postings: dict[int, list[tuple[int, float]]] = {}
         common = 0.0
         rare = {w for w in self.idf if found.get(w, 0) < RARE * documents}
         for k, (name, words) in enumerate(forms):
-            raw = {w: n * self.idf[w] for w, n in Counter(words).items()}
+            raw = {w: n * self.idf[w] for w, n in self._counts(words).items()}
             norm = math.sqrt(sum(x * x for x in raw.values()))
             self.vectors.append((name, {w: x / norm for w, x in raw.items()}))
             for w, x in self.vectors[-1][1].items():
@@ -74,8 +84,23 @@ class Weights:
             common = max(common, math.sqrt(sum(x * x for w, x in self.vectors[-1][1].items() if w not in rare)))
         self.triggers = np.sort(np.array(list(rare if common < least else self.idf), np.uint64))
 
+    def _counts(self, words: list[int]) -> dict[int, float]:
+        return {w: 1 + math.log(n) if self.damped else n for w, n in Counter(words).items()}
+
+    def likely(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The texts that can reach ``least``: they have words of one template of enough weight."""
+        vocabulary = np.sort(np.array(list(self.idf), np.uint64))
+        own = np.flatnonzero(_members(h, vocabulary))
+        pairs = np.unique((np.searchsorted(first, own, "right") - 1) * len(vocabulary) + np.searchsorted(vocabulary, h[own]))
+        text, word = pairs // len(vocabulary), pairs % len(vocabulary)
+        found = np.zeros(len(first) - 1, bool)
+        for _, vector in self.vectors:
+            weight = np.array([vector.get(w, 0.0) ** 2 for w in vocabulary.tolist()])
+            found |= np.bincount(text, weight[word], len(first) - 1) >= self.least**2 - 1e-9
+        return np.flatnonzero(found)
+
     def best(self, words: list[int]) -> tuple[str, float] | None:
-        counts = Counter(words)
+        counts = self._counts(words)
         norm = math.sqrt(sum((n * self.idf.get(w, self.other)) ** 2 for w, n in counts.items()))
         dots: dict[int, float] = {}
         for w, n in counts.items():
@@ -117,33 +142,42 @@ def term_counts(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLAT
 OWN = "doc_id long, path string, own string, cosine double, licensed_words long, n_words long"
 
 
-def own_licenses(docs: DataFrame, weights: Weights) -> DataFrame:
-    """Each row's best passage, and the words of all its licensed passages."""
-    held = docs.sparkSession.sparkContext.broadcast(weights)
+def own_licenses(docs: DataFrame, weights: Weights, whole: Weights) -> DataFrame:
+    """Each row's whole text or best passage, and the words of all that is licensed in it."""
+    held = docs.sparkSession.sparkContext.broadcast((weights, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffer(batch.column(2))
             h, start, end, first = words_of(data, offsets, ALNUM)
             names: list = [None] * len(batch)
-            cosines, covered = [0.0] * len(batch), [0] * len(batch)
-            hits = np.flatnonzero(_members(h, held.value.triggers))
-            done = -1
-            for i in hits.tolist():
-                if i < done:
-                    continue
-                row = int(np.searchsorted(first, i, "right")) - 1
-                low, high = int(first[row]), int(first[row + 1])
-                a, b = i, i + 1
-                while a > low and not _parted(data, int(end[a - 1]), int(start[a])):
-                    a -= 1
-                while b < high and not _parted(data, int(end[b - 1]), int(start[b])):
-                    b += 1
-                done = b
-                if (got := held.value.best(h[a:b].tolist())) is not None:
-                    covered[row] += b - a
-                    if got[1] > cosines[row]:
-                        names[row], cosines[row] = got
+            cosines, covered = [0.0] * len(batch), np.zeros(len(h), bool)
+            weights, whole = held.value
+            hits = np.flatnonzero(_members(h, weights.triggers))
+            # Passages, and blocks of lines up to an empty one.
+            for parted in (_parted, _apart):
+                done = -1
+                for i in hits.tolist():
+                    if i < done:
+                        continue
+                    row = int(np.searchsorted(first, i, "right")) - 1
+                    low, high = int(first[row]), int(first[row + 1])
+                    a, b = i, i + 1
+                    while a > low and not parted(data, int(end[a - 1]), int(start[a])):
+                        a -= 1
+                    while b < high and not parted(data, int(end[b - 1]), int(start[b])):
+                        b += 1
+                    done = b
+                    if (got := weights.best(h[a:b].tolist())) is not None:
+                        covered[a:b] = True
+                        if got[1] > cosines[row]:
+                            names[row], cosines[row] = got
+            for row in whole.likely(h, first).tolist():
+                if (got := whole.best(h[first[row] : first[row + 1]].tolist())) is not None:
+                    covered[first[row] : first[row + 1]] = True
+                    names[row], cosines[row] = got
+            total = np.r_[0, np.cumsum(covered)]
+            covered = total[first[1:]] - total[first[:-1]]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array([round(c, 6) if n else None for c, n in zip(cosines, names)], pa.float64()), pa.array(covered, pa.int64()), pa.array(np.diff(first), pa.int64())],
                 names=["doc_id", "path", "own", "cosine", "licensed_words", "n_words"],
@@ -158,11 +192,18 @@ def _parted(data: np.ndarray, end: int, start: int) -> bool:
     return b"\n" in gap or (gap[:1] in (b".", b"!", b"?") and gap[1:2] in (b" ", b"\t", b"\r"))
 
 
+def _apart(data: np.ndarray, end: int, start: int) -> bool:
+    """Whether an empty line lies between two words, signs of a comment aside."""
+    return data[end:start].tobytes().count(b"\n") > 1
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = LEAST, file_share: float = FILE_SHARE) -> DataFrame:
     """(doc_id, path, license, cosine, basis, license_dir) of each row of (doc_id, path, text); basis:
     'own', 'directory' or null."""
     bounded_batches(docs.sparkSession)
-    scanned = own_licenses(docs, Weights(*term_counts(docs, templates), templates, least))
+    texts = whole_texts()
+    counted = term_counts(docs, {k: (*templates.get(k, ()), *texts.get(k, ())) for k in {**templates, **texts}})
+    scanned = own_licenses(docs, Weights(*counted, templates, least), Weights(*counted, texts, least, damped=True))
     parent = lambda c: F.when(F.instr(c, "/") > 0, F.regexp_extract(c, r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
     # Texts are scanned once; what follows reads the findings.
     own = materialise(scanned.withColumn("dir", parent(F.col("path"))))

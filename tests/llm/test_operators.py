@@ -379,6 +379,21 @@ def test_licenses(spark):
     assert got == {1: ("Apache-2.0", "own", None), 2: ("MIT", "own", None), 3: ("CC-BY-NC-4.0", "directory", "a/b"), 4: (None, None, None), 5: (None, None, None), 6: ("CC-BY-NC-4.0", "own", None), 7: (None, None, None)}
 
 
+def test_license_files_hold_whole_texts(spark):
+    texts = licenses.whole_texts()
+    rows = [(10 * k, f"{name}/LICENSE", "Copyright (c) 2020 Some Body\n\n" + text) for k, (name, (text,)) in enumerate(texts.items())]
+    rows += [(10 * k + 1, f"{name}/src/a.txt", f"plain words of file {k}") for k, name in enumerate(texts)]
+    header = "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in\n# compliance with the License.\n\nimport os and much more of a program"
+    prose = "The work of the day is to be done by any person that has the time for it, and you may not leave it to others without the permission of those who are to do it. " * 20
+    rows += [(100, "h/a.py", header), (101, "p/a", prose), *((200 + i, f"z/{i}", f"other words {i}") for i in range(50))]
+    got = {r.doc_id: (r.license, r.basis) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    for k, name in enumerate(texts):
+        assert got[10 * k] == (name, "own")
+        assert got[10 * k + 1] == (name, "directory")
+    assert got[100] == ("Apache-2.0", "own")
+    assert got[101] == (None, None)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     path = packing.tokenizer_path()
