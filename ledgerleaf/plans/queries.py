@@ -508,14 +508,14 @@ def wire_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of the files, ingested by a stream that ends when it has read what is there."""
+    """All files of the tables, ingested by a stream that ends when it has read what is there."""
     import tempfile
     import uuid
 
     from ..sources.files import file_name
-    from ..streaming.ingest import hashed, watch
+    from ..streaming.ingest import hashed_files, watch
 
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
     place = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    watch(spark, sf_dir, hashed, f"{place}/out", f"{place}/state", "{region,nation}.parquet").awaitTermination()
+    watch(spark, sf_dir, hashed_files, f"{place}/out", f"{place}/state", "*.parquet", content=False).awaitTermination()
     return spark.read.parquet(f"{place}/out").select(file_name(F.col("path")).alias("name"), "length", "content_hash")

@@ -1,7 +1,9 @@
 """Every registered query with SQL gives what DuckDB gives for it, on the smallest tables."""
 
+import hashlib
 import math
 import os
+import pathlib
 
 import duckdb
 import pytest
@@ -44,3 +46,16 @@ def test_query_equals_its_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry_points.entry(spark).columns == ["k", "code", "severity", "field", "expected", "actual"]
+
+
+@pytest.mark.parametrize("large", [None, 10_000])
+def test_stream_takes_all_files(spark, monkeypatch, large):
+    """With ``large``, some files are read as streams."""
+    if large:
+        from ledgerleaf.streaming import ingest
+
+        monkeypatch.setattr(ingest, "LARGE", large)
+    files = {p.name: p.read_bytes() for p in pathlib.Path(SF).rglob("*.parquet") if p.is_file()}
+    got = entry_points.queries()["stream_ingest"](spark, SF).collect()
+    assert len(files) >= len(TABLES)
+    assert {r.name: (r.length, r.content_hash) for r in got} == {k: (len(b), hashlib.sha256(b).hexdigest()) for k, b in files.items()}
