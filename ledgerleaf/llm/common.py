@@ -15,7 +15,11 @@ BATCH_CONF = {
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches by rows and by bytes, so that very long texts stay cheap."""
+    """Bound the Arrow batches by rows and by bytes, so that very long texts stay cheap.
+
+    Plans are lazy, so the bounds must still hold when the caller runs the result: they are left set
+    in the session.
+    """
     for key, value in BATCH_CONF.items():
         spark.conf.set(key, value)
 
@@ -25,9 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a fresh
+    local one, but only if executors are on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerleaf-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,11 +42,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation.  ``release`` deletes it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerleaf-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialise`` returned and nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := vars(df).get("written_path")):
+            spark = df.sparkSession
+            held = spark._jvm.org.apache.hadoop.fs.Path(path)
+            held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
 def fresh(df: DataFrame, base: str) -> str:

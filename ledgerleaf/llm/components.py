@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,16 +20,19 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return hung.unionAll(least.filter("a <> m").select("a", F.col("m").alias("b"))).distinct()
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b: long); a component is its least node."""
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    pairs = materialise(pairs)
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b: long); a component is its least node.
+
+    Rounds go on until the links do not change; their number follows the logarithm of the longest
+    path.  Each round's table replaces the one before, which is deleted.  No links: no rows.
+    """
+    pairs = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     before = None
-    for _ in range(rounds):
-        pairs = materialise(_star(_star(pairs, True), False))
+    while True:
+        last, pairs = pairs, materialise(_star(_star(pairs, True), False))
+        release(last)
         # Stars that hang together change nothing any more; this sum tells.
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(pairs.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
         before = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -3,32 +3,37 @@
 Each document is the set of its distinct word shingles.  Shingles have one global order, rare ones
 first; two sets that are similar enough share a shingle among their first few (the prefix).
 
-1. A count sketch of fixed size, summed over all documents, gives the order.
+1. A count sketch, summed over all documents, gives the order.
 2. One scan yields each document's size, set hash, prefix and a 256-bit parity map of its set.
-   Equal sets become one class; classes of equal prefix, size and map become one group.
+   Equal sets become one class; classes of equal prefix and size become one group (but those of a
+   crowd of over GROUP classes stay by themselves).
 3. Groups meet where they share a prefix shingle, in order of size.  Pairs go through filters that
-   never turn away a similar pair: by size, by the shingle's places, and by the parity maps (which
-   bound the symmetric difference from below).
-4. Group pairs are expanded to member classes, and each pair is verified on the full sets.
-5. Components of the verified links, joined back to the documents.
-
-Where a shingle's groups have far more pairs than members, each member is first paired only with
-its nearest earlier one; after the components of those links are known, all pairs that lie in
-different components follow.  So a large group of near copies costs a few links a member, and no
-link that would join two components is lost.  Shingles held by very many documents are dealt out in
-pairs of blocks.
-
-``near_duplicates`` wants components only and stops there.  ``near_links`` and ``near_pairs`` keep
-every link: each lies within a component, so the classes of a component are dealt in blocks and each
-pair of blocks is verified whole on the full sets, in one task of bounded size.
+   never turn away a similar pair: by size and by the shingle's places, and where both groups have
+   one member by the parity maps (which bound the symmetric difference from below).
+4. Group pairs are expanded to member classes, filtered by the members' own maps, and each pair is
+   verified on the full sets.
+5. Components of the verified links.
+6. Links: all lie within components, so the classes of a component are dealt in blocks and each pair
+   of blocks is verified whole on the full sets, in one task of bounded size (``near_links``,
+   ``near_pairs``; ``near_duplicates`` wants components only and stops at 5).
+
+A list of a shingle that has far more pairs than members yields only each member's nearest earlier
+one at first.  What it held back follows in rounds, each of at most eight times as many partners a
+member, and only between groups that are not yet in one component; rounds end when no list holds
+anything back.  So a large group of near copies costs a few pairs a member, no link that would join
+two components is lost, and step 6 finds all links within them.  Shingles of over LIST groups,
+counted exactly, are dealt out in pairs of blocks of about LIST.
 
 Null and empty texts have an empty set and are linked with nothing.  A null doc_id is linked with
-nothing and has a null component; rows that repeat a doc_id count as that one document.  Columns
-other than doc_id and text are ignored.  An empty table gives an empty result.
+nothing and has a null component; rows that repeat a doc_id count as that one document (each row is
+reported with its own text's size and class).  Very long texts cost their length.  Ties of order
+are broken by hash and id.  Columns other than doc_id and text are ignored.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -37,19 +42,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise, table
+from .common import bounded_batches, fresh, materialise, release, table
 from .components import connected
 from .textkit import NOT_SPACE, mix, shingles, text_buffer, words_of
 
-#: Counters of the sketch, in bits, and counters to a row of it.
-SKETCH_BITS, ROW = 21, 4096
-#: Groups that one list of a shingle may hold before it is dealt out in blocks.
+#: Counters of the sketch, in bits (the least, and the most, of 64 MB), and counters to a row of it.
+SKETCH_BITS, MOST_SKETCH_BITS, ROW = 21, 24, 4096
+#: Groups that one list of a shingle may hold before it is dealt out in blocks of about so many.
 LIST = 2048
-#: Classes of one component that make a block; each pair of blocks is a cell, verified at once.
-CELL = 256
+#: Lists of at most so many members are searched together, longer ones one by one.
+SHORT = 128
+#: Classes that one group may have.
+GROUP = 8
+#: Classes of one component that make a block, and shingles that a block may hold; each pair of
+#: blocks is a cell, verified at once.
+CELL, CELL_SHINGLES = 512, 1 << 20
 #: Size, as a power of two, of the bit filter that tells which documents' full sets are needed: the
 #: least, and the most that is broadcast (32 MB).  For more documents than that serves, they are joined.
 NEEDED_BITS, MOST_BITS = 24, 28
+#: Documents that a task remembers so as to pass over equal rows.
+SEEN = 100_000
 
 
 def _sets(batch: pa.RecordBatch, size: int) -> list[np.ndarray]:
@@ -63,16 +75,25 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Documents that hold a shingle of each counter; 2**SKETCH_BITS counters."""
-    shift = np.uint64(64 - SKETCH_BITS)
+def sketch_bits(docs: DataFrame) -> int:
+    """A counter for each 256 bytes of the input, within bounds: a larger corpus has more rare shingles
+    to tell apart.  The order decides how many candidates there are, never the result."""
+    held = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(MOST_SKETCH_BITS, SKETCH_BITS), max(SKETCH_BITS, math.ceil(math.log2(max(2, held // 256)))))
+
+
+def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the documents that hold a shingle of each counter: a rank by their number (one byte), and
+    whether they are over LIST (one bit)."""
+    bits = sketch_bits(docs)
+    shift = np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             got = _sets(batch, size)
             if got:
-                total += np.bincount((np.concatenate(got) >> shift).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+                np.add.at(total, (np.concatenate(got) >> shift).astype(np.int64), np.uint32(1))
         rows = total.reshape(-1, ROW)
         used = np.flatnonzero(rows.any(axis=1))
         for part in np.array_split(used, max(1, len(used) // 64)):
@@ -86,32 +107,34 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
                 own = held.setdefault(part, np.zeros(ROW, np.uint64))
                 own += np.frombuffer(zlib.decompress(counts), np.uint32)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "counts"])
+            ranks = [np.minimum(255, np.round(8 * np.log2(x + 1.0))).astype(np.uint8).tobytes() for x in held.values()]
+            often = [np.packbits(x > LIST).tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(ranks, pa.binary()), pa.array(often, pa.binary())], names=["part", "ranks", "often"])
 
-    schema = "part long, counts binary"
-    total = np.zeros((1 << SKETCH_BITS) // ROW * ROW, np.uint64).reshape(-1, ROW)
-    for r in _source(docs).mapInArrow(count, schema).repartition("part").mapInArrow(add, schema).collect():
-        total[r.part] = np.frombuffer(r.counts, np.uint64)
-    return total.ravel()
+    rank, heavy = np.zeros((1 << bits) // ROW * ROW, np.uint8).reshape(-1, ROW), np.zeros((1 << bits) // 8, np.uint8).reshape(-1, ROW // 8)
+    # Nine bits a counter reach the driver: 18 MB at most.
+    counted = _source(docs).mapInArrow(count, "part long, counts binary").repartition("part")
+    for r in counted.mapInArrow(add, "part long, ranks binary, often binary").collect():
+        rank[r.part], heavy[r.part] = np.frombuffer(r.ranks, np.uint8), np.frombuffer(r.often, np.uint8)
+    return rank.ravel(), heavy.ravel()
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-FEATURES = "doc_id long, n long, h1 long, h2 long, g long, m0 long, m1 long, m2 long, m3 long, prefix array<long>, parts array<int>"
+_MAPS = ["m0", "m1", "m2", "m3"]
+FEATURES = "doc_id long, n long, h1 long, h2 long, g long, m0 long, m1 long, m2 long, m3 long, prefix array<long>, heavy array<boolean>"
 
 
-def features(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """Size, set hash, prefix (with the number of blocks of each shingle's list), map and group key."""
-    shift = np.uint64(64 - SKETCH_BITS)
-    # Counters hold several shingles each; only what stands out from that is a long list.
-    blocks = np.ceil(sketch / max(LIST, 4 * float(sketch.mean())))
-    rank = np.minimum(255, np.round(8 * np.log2(sketch + 1.0))).astype(np.uint64)
-    held = docs.sparkSession.sparkContext.broadcast((rank.astype(np.uint8), np.maximum(1, blocks).astype(np.int32)))
+def features(docs: DataFrame, size: int, num: int, den: int, sketch: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Size, set hash, hash of the prefix, map, and the prefix: of each of its shingles whether its
+    list may have over LIST members."""
+    shift = np.uint64(64 - (len(sketch[0]) - 1).bit_length())
+    held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank, parts = held.value
+        rank, heavy = held.value
         for batch in batches:
             got = _sets(batch, size)
             n = [len(s) for s in got]
@@ -123,124 +146,195 @@ def features(docs: DataFrame, size: int, num: int, den: int, sketch: np.ndarray)
                     sums[i, 3:] = np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.uint64)
                     with np.errstate(over="ignore"):
                         sums[i, 0], sums[i, 1] = s.sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()
-                        place = np.arange(len(p), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
-                        sums[i, 2] = mix(p + place).sum() + mix(sums[i, 3:] + np.arange(1, 5, dtype=np.uint64)).sum()
+                        sums[i, 2] = mix(p + np.arange(len(p), dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)).sum()
                     prefixes.append(p)
                 cut.append(cut[-1] + (len(p) if n[i] else 0))
             flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
             cut = pa.array(cut, pa.int32())
             longs = [pa.array(np.ascontiguousarray(sums[:, k]).view(np.int64)) for k in range(7)]
+            at = (flat >> shift).astype(np.int64)
+            often = (heavy[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *longs, pa.ListArray.from_arrays(cut, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(parts[(flat >> shift).astype(np.int64)]))],
-                names=["doc_id", "n", "h1", "h2", "g", "m0", "m1", "m2", "m3", "prefix", "parts"],
+                [batch.column(0), pa.array(n, pa.int64()), *longs, pa.ListArray.from_arrays(cut, pa.array(flat.view(np.int64))), pa.ListArray.from_arrays(cut, pa.array(often))],
+                names=["doc_id", "n", "h1", "h2", "g", *_MAPS, "prefix", "heavy"],
             )
 
     return _source(docs).mapInArrow(run, FEATURES)
 
 
-POSTINGS = "token long, dealt long, n long, gid long, pos int, block int, comp long, m0 long, m1 long, m2 long, m3 long"
+POSTINGS = "token long, dealt long, n long, gid long, pos int, block int, several boolean, comp long, mixed boolean, m0 long, m1 long, m2 long, m3 long"
 _COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
 
 
-def postings(groups: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+def long_lists(groups: DataFrame) -> DataFrame:
+    """(token, parts) of the shingles that over LIST groups have in their prefixes: the blocks to deal
+    them in.  Only shingles whose counter is that high are counted."""
+    each = groups.select(F.explode(F.arrays_zip("prefix", "heavy")).alias("x")).filter("x.heavy").select(F.col("x.prefix").alias("token"))
+    return each.groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") > LIST).select("token", F.ceil(F.col("held") / LIST).cast("int").alias("parts"))
+
+
+def postings(groups: DataFrame, dealt_out: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """A row for each prefix shingle of each group; in a list of b blocks, one for each of the b
     pairs of blocks that the group's block is in."""
-    each = groups.select("n", "gid", "comp", "m0", "m1", "m2", "m3", F.posexplode(F.arrays_zip("prefix", "parts")).alias("pos", "x"))
-    each = each.select(F.col("x.prefix").alias("token"), F.col("x.parts").alias("parts"), "n", "gid", "comp", "pos", "m0", "m1", "m2", "m3")
+    kept = ["n", "gid", "several", "comp", "mixed", *_MAPS]
+    each = groups.select(*kept, F.posexplode(F.arrays_zip("prefix", "heavy")).alias("pos", "x"))
+    each = each.select(F.col("x.prefix").alias("token"), F.col("x.heavy").alias("heavy"), "pos", *kept)
     if tokens is not None:
         each = each.join(tokens, "token", "left_semi")
-    each = each.withColumn("block", F.pmod(F.xxhash64("gid", F.lit(7)), F.col("parts")).cast("int"))
-    one = each.filter("parts = 1").withColumn("dealt", F.lit(0).cast("long"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = each.filter("parts > 1").select("*", other).withColumn("dealt", F.least("block", "other").cast("long") * (1 << 20) + F.greatest("block", "other") + 1)
-    return one.select(*_COLUMNS).unionAll(dealt.select(*_COLUMNS)).repartition("token", "dealt").sortWithinPartitions("token", "dealt", "n", "gid")
-
-
-PAIRS = "a long, b long, token long"
-
-
-def candidate_pairs(lists: DataFrame, num: int, den: int, across: bool) -> DataFrame:
-    """Pairs of groups that pass the filters.  With ``across`` all of different components; else
-    for lists of far more pairs than members only each member's nearest earlier one, with a row
-    (null, null, token) to say so."""
-
-    def process(c: dict[str, np.ndarray]) -> list[pa.RecordBatch]:
-        token, dealt, n, gid, pos, block = (c[k] for k in ("token", "dealt", "n", "gid", "pos", "block"))
-        maps = [c[f"m{k}"].view(np.uint64) for k in range(4)]
-        size = len(token)
-        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (dealt[1:] != dealt[:-1])])
-        run = np.cumsum(np.bincount(first, minlength=size)) - 1
+    block = F.pmod(F.xxhash64("gid", F.lit(7)), F.col("parts")).cast("int")
+    each = each.join(dealt_out.withColumn("heavy", F.lit(True)), ["token", "heavy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 20) + F.greatest("block", "other") + 1)
+    return each.select("*", others).withColumn("dealt", dealt.cast("long")).select(*_COLUMNS).repartition("token", "dealt").sortWithinPartitions("token", "dealt", "n", "gid")
+
+
+PAIRS = "a long, b long, grouped boolean, token long"
+
+
+def _passing(c: dict[str, np.ndarray], maps: list[np.ndarray], crossed: np.ndarray, i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, ...]:
+    """Of the pairs (i, j) of one list those that pass the filters, and how far their maps differ."""
+    n, pos = c["n"], c["pos"]
+    total = n[i] + n[j]
+    least = -(-num * total // (num + den))
+    ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (c["gid"][i] != c["gid"][j])
+    ok &= ~crossed[i] | (c["block"][i] != c["block"][j])
+    ok &= (c["comp"][i] != c["comp"][j]) | c["mixed"][i] | c["mixed"][j]
+    i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
+    differ = np.zeros(len(i), np.int16)
+    for m in maps:
+        differ += np.bitwise_count(m[i] ^ m[j])
+    # The map of a group is that of one member: it says nothing about the others.
+    ok = (differ <= most) | c["several"][i] | c["several"][j]
+    return i[ok].astype(np.int32), j[ok].astype(np.int32), differ[ok]
+
+
+def _nearest(i: np.ndarray, j: np.ndarray, d: np.ndarray, each: int) -> np.ndarray:
+    """Places of the ``each`` pairs of least d (then i) of every j."""
+    order = np.lexsort((i, d, j))
+    if not len(order):
+        return order
+    head = np.flatnonzero(np.r_[True, j[order][1:] != j[order][:-1]])
+    rank = np.arange(len(order)) - np.repeat(head, np.diff(np.r_[head, len(order)]))
+    return order[rank < each]
+
+
+def candidate_pairs(lists: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """Pairs of groups that pass the filters and are not known to be in one component.  In turn 0 a
+    list of over four times as many pairs as members yields only each member's nearest earlier one,
+    in turn k at most 4 * 8**(k - 1) of them; a row (null, null, null, token) tells that a list
+    holds pairs back.  What is held at once is bounded by a list of about LIST members."""
+
+    each = 1 if turn == 0 else 4 * 8 ** (turn - 1)
+
+    def written(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        gid, several = c["gid"], c["several"]
+        a, b, wide = np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j]), several[i] | several[j]
+        order = np.lexsort((b, a))
+        a, b, wide = a[order], b[order], wide[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(wide[new]), pa.nulls(int(new.sum()), pa.int64())], names=["a", "b", "grouped", "token"])
+
+    def held_back(tokens: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(tokens), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(tokens), pa.bool_()), pa.array(tokens)], names=["a", "b", "grouped", "token"])
+
+    def of_short(c: dict[str, np.ndarray], maps: list[np.ndarray], crossed: np.ndarray, first: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole lists, by steps: each member with the one ``step`` further on."""
+        size, n = len(c["n"]), c["n"]
+        count = np.diff(np.r_[first, size])
+        run = np.repeat(np.arange(len(first)), count)
         end = np.r_[first[1:], size][run]
-        # A list of two different blocks pairs members across them; one of a block with itself, within.
-        low, high = (dealt - 1) >> 20, (dealt - 1) & ((1 << 20) - 1)
-        crossed = (dealt > 0) & (low != high)
-        found_i, found_j, found_d = [], [], []
-        live, step = np.arange(size), 1
+        found, live, step = [], np.arange(size), 1
         while True:
             live = live[live + step < end[live]]
             live = live[den * n[live] >= num * n[live + step]]
             if not len(live):
                 break
-            i, j = live, live + step
-            total = n[i] + n[j]
-            least = -(-num * total // (num + den))
-            ok = (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= least) & (gid[i] != gid[j])
-            ok &= ~crossed[i] | (block[i] != block[j])
-            if across:
-                ok &= c["comp"][i] != c["comp"][j]
-            i, j, most = i[ok], j[ok], (total - 2 * least)[ok]
-            differ = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in maps)
-            ok = differ <= most
-            found_i.append(i[ok])
-            found_j.append(j[ok])
-            found_d.append(differ[ok])
+            found.append(_passing(c, maps, crossed, live, live + step, num, den))
             step += 1
-        if not found_i:
-            return []
-        i, j, d = np.concatenate(found_i), np.concatenate(found_j), np.concatenate(found_d)
-        out = []
-        if not across and len(i):
-            pairs = np.bincount(run[i], minlength=len(first))
-            long = pairs > 4 * np.diff(np.r_[first, size])
-            if long.any():
-                held = long[run[i]]
-                order = np.lexsort((i, d, j))
-                order = order[held[order]]
-                nearest = order[np.r_[True, j[order][1:] != j[order][:-1]]]
-                keep = np.r_[np.flatnonzero(~held), nearest]
-                i, j = i[keep], j[keep]
-                open_ = np.unique(token[first[long]])
-                empty = pa.nulls(len(open_), pa.int64())
-                out.append(pa.RecordBatch.from_arrays([empty, empty, pa.array(open_)], names=["a", "b", "token"]))
-        a, b = np.minimum(gid[i], gid[j]), np.maximum(gid[i], gid[j])
-        if len(a):
-            both = np.unique(np.column_stack([a, b]), axis=0)
-            out.append(pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.nulls(len(both), pa.int64())], names=["a", "b", "token"]))
-        return out
+        if not found:
+            return
+        i, j, d = (np.concatenate(x) for x in zip(*found))
+        if not len(i):
+            return
+        pairs = np.bincount(run[i], minlength=len(first))
+        limited = ((pairs > 4 * count) if turn == 0 else (pairs > 0))[run[i]]
+        at = np.flatnonzero(limited)
+        near = at[_nearest(i[at], j[at], d[at], each)]
+        lost = np.flatnonzero(np.bincount(run[i[at]], minlength=len(first)) > np.bincount(run[i[near]], minlength=len(first)))
+        keep = np.r_[np.flatnonzero(~limited), near]
+        yield written(c, i[keep], j[keep])
+        if len(lost):
+            yield held_back(np.unique(c["token"][first[lost]]))
+
+    def of_long(c: dict[str, np.ndarray], maps: list[np.ndarray], crossed: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of one list, some members at a time with all before them."""
+        n, size = c["n"], len(c["n"])
+        wide, low = max(1, (1 << 18) // size), np.searchsorted(n, -(-num * n // den))
+        waiting, held, lost = [], 0, False
+        for at in range(1, size, wide):
+            to, a = min(size, at + wide), int(low[at])
+            j, i = np.divmod(np.arange((to - at) * (to - a)), to - a)
+            i, j = i + a, j + at
+            ok = (i < j) & (i >= low[j])
+            i, j, d = _passing(c, maps, crossed, i[ok], j[ok], num, den)
+            if turn == 0 and held + len(i) <= 4 * size:
+                waiting.append((i, j, d))
+                held += len(i)
+                continue
+            if waiting:
+                i, j, d = (np.concatenate(x) for x in zip(*waiting, (i, j, d)))
+                waiting, held = [], 4 * size + 1
+            near = _nearest(i, j, d, each)
+            lost |= len(near) < len(i)
+            if len(near):
+                yield written(c, i[near], j[near])
+        if waiting:
+            i, j, _ = (np.concatenate(x) for x in zip(*waiting))
+            if len(i):
+                yield written(c, i, j)
+        if lost:
+            yield held_back(c["token"][:1])
+
+    def process(c: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """All whole lists of these rows."""
+        token, dealt = c["token"], c["dealt"]
+        size = len(token)
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (dealt[1:] != dealt[:-1])])
+        count = np.diff(np.r_[first, size])
+        # A list of two different blocks pairs members across them; one of a block with itself, within.
+        crossed = (dealt > 0) & ((dealt - 1) >> 20 != (dealt - 1) & ((1 << 20) - 1))
+        maps = [c[k].view(np.uint64) for k in _MAPS]
+
+        part = lambda own: ({k: x[own] for k, x in c.items()}, [m[own] for m in maps], crossed[own])
+        short = (count > 1) & (count <= SHORT)
+        if short.any():
+            yield from of_short(*part(np.flatnonzero(np.repeat(short, count))), np.r_[0, np.cumsum(count[short])[:-1]])
+        for k in np.flatnonzero(count > SHORT).tolist():
+            yield from of_long(*part(slice(first[k], first[k] + count[k])))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
         rows = 0
 
-        def columns(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-            whole = pa.Table.from_batches(parts)
+        def columns(whole: pa.Table) -> dict[str, np.ndarray]:
             return {k: whole.column(k).to_numpy() for k in _COLUMNS}
 
         for batch in batches:
             waiting.append(batch)
             rows += len(batch)
-            if rows >= 65536:
+            if rows >= 16384:
                 whole = pa.Table.from_batches(waiting).combine_chunks()
                 token, dealt = whole.column("token").to_numpy(), whole.column("dealt").to_numpy()
                 # The last list may go on in the next batch.
                 other = np.flatnonzero((token != token[-1]) | (dealt != dealt[-1]))
                 stop = int(other[-1]) + 1 if len(other) else 0
                 if stop:
-                    yield from process({k: whole.column(k).to_numpy()[:stop] for k in _COLUMNS})
+                    yield from process(columns(whole.slice(0, stop)))
                 rest = whole.slice(stop)
-                waiting, rows = rest.to_batches(), min(len(rest), 65535 if stop else 0)
+                waiting, rows = rest.to_batches(), min(len(rest), 16383 if stop else 0)
         if waiting and sum(map(len, waiting)):
-            yield from process(columns(waiting))
+            yield from process(columns(pa.Table.from_batches(waiting)))
 
     return lists.mapInArrow(search, PAIRS)
 
@@ -257,7 +351,8 @@ def _needed(ids: DataFrame, size: int) -> np.ndarray:
 
 def full_sets(docs: DataFrame, size: int, ids: DataFrame, most: int) -> DataFrame:
     """(id, shingles) of the documents in ``ids`` (and, by the filter's mistakes, some others);
-    there are at most ``most`` ids, of which the filter has eight bits each."""
+    there are at most ``most`` ids, of which the filter has eight bits each.  Of equal rows few
+    are given more than once."""
     bits = max(NEEDED_BITS, (8 * most).bit_length())
     source = _source(docs).filter("doc_id IS NOT NULL")
     if bits <= MOST_BITS:
@@ -268,12 +363,24 @@ def full_sets(docs: DataFrame, size: int, ids: DataFrame, most: int) -> DataFram
         source = source.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             if held is not None:
                 slot = batch.column(2).to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array((held.value[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
             if len(batch):
-                got = _sets(batch, size)
+                got, ids = _sets(batch, size), batch.column(0).to_pylist()
+                new = []
+                for k, (doc, own) in enumerate(zip(ids, got)):
+                    key = doc, hash(own.tobytes())
+                    if key not in seen:
+                        new.append(k)
+                        seen.add(key)
+                if len(seen) > SEEN:
+                    seen.clear()
+                got, batch = [got[k] for k in new], batch.take(pa.array(new, pa.int64()))
+                if not new:
+                    continue
                 cut = np.zeros(len(got) + 1, np.int32)
                 np.cumsum([len(s) for s in got], out=cut[1:])
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(got).view(np.int64)))], names=["id", "shingles"])
@@ -299,35 +406,67 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     """The features of each row, and (h1, h2, n, cls, component_id) of each class of equal sets."""
     if not (0 < num <= den) or size < 1:
         raise ValueError("the threshold must lie in (0, 1] and shingles have a word")
-    sketch = count_sketch(docs, size)
-    found = materialise(features(docs, size, num, den, sketch))
+    found = materialise(features(docs, size, num, den, count_sketch(docs, size)))
 
-    firsts = [F.first(k).alias(k) for k in ("g", "m0", "m1", "m2", "m3")]
+    firsts = [F.first(k).alias(k) for k in ("g", *_MAPS)]
     classes = materialise(found.filter("n > 0 AND doc_id IS NOT NULL").groupBy(*_KEY).agg(F.min("doc_id").alias("cls"), *firsts))
-    sums = classes.groupBy("g", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("members"), *firsts[1:])
-    groups = sums.join(found.select(F.col("doc_id").alias("gid"), "g", "n", "prefix", "parts"), ["gid", "g", "n"])
-    several = classes.join(sums.filter("members > 1").select("g", "n", "gid"), ["g", "n"]).select("gid", "cls")
+    sums = materialise(classes.groupBy("g", "n").agg(F.min("cls").alias("gid"), F.count("*").alias("members"), *firsts[1:]))
+    crowds = sums.filter(F.col("members") > GROUP).select("g", "n")
+    alone = classes.join(crowds, ["g", "n"], "left_semi").select("g", "n", F.col("cls").alias("gid"), F.lit(False).alias("several"), *_MAPS)
+    grouped = sums.filter(F.col("members") <= GROUP).select("g", "n", "gid", (F.col("members") > 1).alias("several"), *_MAPS)
+    own = found.select(F.col("doc_id").alias("gid"), "g", "n", "prefix", "heavy")
+    groups = materialise(grouped.unionAll(alone).join(own, ["gid", "g", "n"]).dropDuplicates(["gid", "g", "n"]).drop("g"))
+    # (gid, cls) of the members of groups that have several.
+    members = classes.join(sums.filter((F.col("members") > 1) & (F.col("members") <= GROUP)).select("g", "n", "gid"), ["g", "n"]).select("gid", "cls")
+    members = materialise(members)
+    dealt_out = materialise(long_lists(groups))
 
     def expand(pairs: DataFrame) -> DataFrame:
-        a, b = several.select(F.col("gid").alias("a"), F.col("cls").alias("x")), several.select(F.col("gid").alias("b"), F.col("cls").alias("y"))
+        """Pairs of classes, from (a, b, grouped) of groups and from within groups."""
+        a, b = members.select(F.col("gid").alias("a"), F.col("cls").alias("x")), members.select(F.col("gid").alias("b"), F.col("cls").alias("y"))
         met = pairs.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-
-    lists = postings(groups.withColumn("comp", F.lit(0).cast("long")))
-    first = materialise(candidate_pairs(lists, num, den, False))
-    within = several.select(F.col("gid").alias("a"), F.col("gid").alias("b")).distinct()
-    links = materialise(verified(docs, materialise(expand(first.filter("a IS NOT NULL").select("a", "b").distinct().unionAll(within))), size, num, den))
-    joined = connected(links)
-    open_lists = first.filter("token IS NOT NULL").select("token").distinct()
-    if not open_lists.isEmpty():
-        known = materialise(joined)
-        labelled = groups.join(known.select(F.col("node").alias("gid"), "component"), "gid", "left").withColumn("comp", F.coalesce("component", "gid"))
-        more = candidate_pairs(postings(labelled, open_lists), num, den, True).select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
-        more = materialise(expand(more))
-        if not more.isEmpty():
-            joined = connected(links.unionAll(verified(docs, more, size, num, den)))
-
-    return found, classes.join(joined.withColumnRenamed("node", "cls"), "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
+        met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+        left, right = (classes.select(F.col("cls").alias(k), F.col("n").alias(f"n{k}"), *[F.col(m).alias(f"{m}{k}") for m in _MAPS]) for k in "ab")
+        differ = sum((F.bit_count(F.col(f"{m}a").bitwiseXOR(F.col(f"{m}b"))) for m in _MAPS), F.lit(0))
+        total = F.col("na") + F.col("nb")
+        # Twice the least intersection, rounded up as everywhere.
+        least = 2 * F.ceil(num * total / (num + den))
+        return met.join(left, "a").join(right, "b").filter(differ <= total - least).select("a", "b")
+
+    links = known = tried = open_lists = None
+    turn, used = 0, []
+    while True:
+        if known is None:
+            labelled = groups.withColumns({"comp": F.col("gid"), "mixed": F.lit(False)})
+        else:
+            # A group whose members are in several components may link with any.
+            label = F.coalesce("component", F.col("cls"))
+            by_group = members.join(known.withColumnRenamed("node", "cls"), "cls", "left").groupBy("gid").agg(F.min(label).alias("low"), F.max(label).alias("high"))
+            labelled = groups.join(known.withColumnRenamed("node", "gid"), "gid", "left").join(by_group, "gid", "left")
+            labelled = labelled.withColumns({"comp": F.coalesce("low", "component", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
+        got = materialise(candidate_pairs(postings(labelled, dealt_out, open_lists), num, den, turn))
+        pairs = got.filter("a IS NOT NULL").select("a", "b", "grouped").distinct()
+        wide = pairs.filter("grouped").select("a", "b")
+        if turn == 0:
+            wide = wide.unionAll(members.select(F.col("gid").alias("a"), F.col("gid").alias("b")).distinct())
+        new = pairs.filter("NOT grouped").select("a", "b").unionAll(expand(wide)).distinct()
+        new = materialise(new if tried is None else new.join(tried, ["a", "b"], "left_anti"))
+        used.append(new)
+        if turn == 0 or not new.isEmpty():
+            more = materialise(verified(docs, new, size, num, den))
+            used.append(more)
+            links = more if links is None else links.unionAll(more)
+            release(known)
+            known = materialise(connected(links))
+        tokens = open_lists
+        open_lists = materialise(got.filter("token IS NOT NULL").select("token").distinct())
+        release(got, tokens)
+        if open_lists.isEmpty():
+            break
+        tried, turn = new if tried is None else tried.unionAll(new), turn + 1
+    component = known.select(F.col("node").alias("cls"), "component")
+    release(groups, sums, members, dealt_out, open_lists, *used)
+    return found, classes.join(component, "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
 
 
 def _by_row(found: DataFrame, labels: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -347,34 +486,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     return _by_row(found, labels.select(*_KEY, "component_id"), {})
 
 
-def _linked(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossed: bool, num: int, den: int) -> np.ndarray:
-    """Rows (a, b), a < b, of the ids whose sets are similar enough; if ``crossed``, of different blocks."""
-    n = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), n)
-    _, at, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    # Only what two sets hold can be shared; it goes through a dense table, some columns at a time.
-    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[at]
-    row, column = row[column >= 0], column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    shared, wide = np.zeros((len(sets), len(sets)), np.int64), 8192
-    for low in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        a, b = np.searchsorted(column, [low, low + wide])
-        dense = np.zeros((len(sets), min(wide, int(column[-1]) + 1 - low)), np.float32)
-        dense[row[a:b], column[a:b] - low] = 1
-        shared += (dense @ dense.T).astype(np.int64)
-    ok = shared * den >= (n[:, None] + n[None, :] - shared) * num
+def _linked(ids: np.ndarray, block: np.ndarray, sets: list[np.ndarray], crossed: bool, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets that are similar enough; if ``crossed``, of different blocks."""
+    n, count = np.array([len(s) for s in sets]), len(sets)
+    row = np.repeat(np.arange(count), n)
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    row, flat = row[order], flat[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    held = np.diff(np.r_[first, len(flat)])
+    shared = np.zeros((count, count), np.int32)
+    # Shingles that few sets hold are counted pair by pair ...
+    few = np.repeat((held > 1) & (held <= 32), held)
+    own, column = row[few], np.repeat(np.arange(len(held)), held)[few]
+    for step in range(1, 32):
+        at = np.flatnonzero(column[step:] == column[:-step]) if step < len(column) else ()
+        if not len(at):
+            break
+        np.add.at(shared, (own[at], own[at + step]), 1)
+    # ... those that many hold by products of a dense table, some columns at a time.
+    many, wide = np.flatnonzero(held > 32), 2048
+    for low in range(0, len(many), wide):
+        part = many[low : low + wide]
+        dense = np.zeros((count, len(part)), np.float32)
+        for k, c in enumerate(part.tolist()):
+            dense[row[first[c] : first[c] + held[c]], k] = 1
+        shared += np.triu(dense @ dense.T, 1).astype(np.int32)
+    i, j = np.nonzero(shared)
+    both = shared[i, j].astype(np.int64)
+    ok = (both * den >= (n[i] + n[j] - both) * num) & (ids[i] != ids[j])
     if crossed:
-        ok &= block[:, None] != block[None, :]
-    i, j = np.nonzero(np.triu(ok, 1))
-    i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
-    return np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
+        ok &= block[i] != block[j]
+    return i[ok], j[ok]
 
 
 def _all_links(docs: DataFrame, labels: DataFrame, size: int, num: int, den: int, count: bool) -> DataFrame:
     """Every link between classes, once, as (a, b); with ``count``, as (a, b = its links) summed over a cell."""
-    members = labels.groupBy("component_id").agg(F.count("*").alias("held")).filter("held > 1")
-    several = materialise(labels.join(members, "component_id").select("cls", "component_id", F.ceil(F.col("held") / CELL).cast("int").alias("parts")).distinct())
+    members = labels.groupBy("component_id").agg(F.count("*").alias("held"), F.sum("n").alias("volume")).filter("held > 1")
+    parts = F.greatest(F.ceil(F.col("held") / CELL), F.ceil(F.col("volume") / CELL_SHINGLES)).cast("int")
+    several = materialise(labels.join(members, "component_id").select("cls", "component_id", parts.alias("parts")).distinct())
     sets = full_sets(docs, size, several.select(F.col("cls").alias("id")), several.count())
     own = several.join(sets, F.col("cls") == F.col("id")).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(7)), F.col("parts")).cast("int"))
     dealt = own.select("component_id", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "cls", "shingles")
@@ -389,19 +539,27 @@ def _all_links(docs: DataFrame, labels: DataFrame, size: int, num: int, den: int
             if len(waiting) < 2:
                 return
             ids, block, held = zip(*waiting)
-            found = _linked(np.array(ids), np.array(block), list(held), cell[1] != cell[2], num, den)
+            ids = np.array(ids)
+            i, j = _linked(ids, np.array(block), list(held), cell[1] != cell[2], num, den)
+            if len(np.unique(ids)) < len(ids):  # rows that repeat an id, with other texts
+                pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
+                ids, at = np.unique(pairs, return_inverse=True)
+                i, j = at.reshape(-1, 2).T
             if count:
-                found = np.column_stack(np.unique(found, return_counts=True))
-            if len(found):
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+                links = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
+                a, b = ids[links > 0], links[links > 0]
+            else:
+                a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
-            for i, (component, low, high, block, cls) in enumerate(zip(*columns)):
+            shingles = batch.column(5)
+            for i, (component, low, high, block, cls) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(5)))):
                 if (component, low, high) != cell:
                     yield from done()
                     waiting, cell = [], (component, low, high)
-                waiting.append((cls, block, batch.column(5)[i].values.to_numpy().copy()))
+                waiting.append((cls, block, shingles[i].values.to_numpy().copy()))
         yield from done()
 
     return cells.mapInArrow(verify, "a long, b long")
@@ -431,10 +589,6 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), 3, 90, 100)
-
-
-def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_links(table(spark, sf_dir, "documents"), 3, 90, 100)
 
 
@@ -465,15 +619,7 @@ WITH RECURSIVE texts AS (
 ), least_of AS (
   SELECT node, min(least) AS component_id FROM reach GROUP BY node
 )
-SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id
-FROM keyed k LEFT JOIN classes c ON c.h = k.h AND c.n = k.n AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least_of m ON m.node = c.cls
-"""
-
-#: The same with each class and the number of its links.
-OP1_LINKS_SQL = (
-    OP1_SQL.rpartition("SELECT k.doc_id")[0]
-    + """SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id, coalesce(c.cls, k.doc_id) AS class_id, coalesce(d.n_links, 0) AS n_links
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.component_id, k.doc_id) AS component_id, coalesce(c.cls, k.doc_id) AS class_id, coalesce(d.n_links, 0) AS n_links
 FROM keyed k LEFT JOIN classes c ON c.h = k.h AND c.n = k.n AND k.n > 0 AND k.doc_id IS NOT NULL LEFT JOIN least_of m ON m.node = c.cls
 LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) d ON d.a = c.cls
 """
-)

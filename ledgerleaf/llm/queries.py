@@ -8,7 +8,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         jaccard.op1_jaccard_join,
-        jaccard.op1_jaccard_links,
         secrets.op2_secret_scan,
         pii.op3_personal_data,
         licenses.op4_license_scan,
@@ -23,7 +22,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_jaccard_join": jaccard.OP1_SQL,
-    "op1_jaccard_links": jaccard.OP1_LINKS_SQL,
     "op2_secret_scan": secrets.OP2_SQL,
     "op6_quality_rules": quality.OP6_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,

@@ -1,21 +1,24 @@
 """Vectorised word hashing over Arrow string buffers.
 
 Texts of a batch are hashed where Arrow holds them, without building Python strings.  A word's
-hash is a polynomial over a random byte table modulo 2**64, made shift-invariant with the inverse
-powers and finished by a bit mixer.  Work proceeds in segments of about SEGMENT bytes, cut at
-document ends or between words, so memory does not follow the length of a text.
+hash goes over its bytes in blocks of eight, all words at once, with a non-linear bit mixer between
+blocks; so words of up to eight bytes and equal length never collide, and no algebraic structure of
+longer ones carries over.  Words of over LONG bytes go through keyed BLAKE2 one by one.  Work
+proceeds in segments of about SEGMENT bytes, cut at document ends or between words, so memory does
+not follow the length of a text.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
 SEGMENT = 1 << 18
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_MASK = (1 << 64) - 1
-_BYTE = np.random.default_rng(20240611).integers(1, 1 << 63, 256, dtype=np.uint64)
+LONG = 64
+_KEY = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -26,20 +29,6 @@ NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power(size: int) -> list[np.ndarray]:
-    if len(_powers[0]) < size:
-        size = max(size, 2 * SEGMENT)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, base, np.uint64)
-            full[0] = 1
-            with np.errstate(over="ignore"):
-                _powers[k] = np.cumprod(full, dtype=np.uint64)
-    return _powers
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -73,6 +62,28 @@ def _cut(data: np.ndarray, offsets: np.ndarray, at: int, is_word: np.ndarray) ->
     return end
 
 
+def _word_hashes(part: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    folded = np.zeros(len(part) + 8, np.uint8)
+    folded[:-8] = FOLD[part]
+    block_at = np.ndarray(len(part) + 1, "<u8", folded.data, 0, (1,))
+    size = last - first
+    with np.errstate(over="ignore"):
+        h = mix(size.astype(np.uint64) * _KEY + _KEY)
+    own, at, left = None, first, np.minimum(size, LONG)
+    while len(at):
+        block = block_at[at] & _MASKS[np.minimum(left, 8)]
+        if own is None:
+            h = mix(h ^ block)
+        else:
+            h[own] = mix(h[own] ^ block)
+        on = np.flatnonzero(left > 8)
+        own, at, left = (on if own is None else own[on]), at[on] + 8, left[on] - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        held = hashlib.blake2b(folded[first[i] : last[i]].data, digest_size=8, key=b"ledgerleaf")
+        h[i] = int.from_bytes(held.digest(), "little")
+    return h
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, ...]:
     """(hash, start, end) of every word, and for each text the index of its first word
     (with one more entry at the end).  Hashes ignore the case of A-Z."""
@@ -90,13 +101,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tupl
         flag[-1], flag[1:-1] = word[-1], word[:-1] & ~word[1:]
         flag[inner] |= word[inner - 1] if len(inner) else False
         last = np.flatnonzero(flag)
-        power, inverse = _power(len(part) + 1)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(_BYTE[FOLD[part]] * power[: len(part)], out=sums[1:])
-            h = (sums[last] - sums[first]) * inverse[first]
-            h = mix(h + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        hashes.append(h)
+        hashes.append(_word_hashes(part, first, last))
         starts.append(first + pos)
         ends.append(last + pos)
         pos = stop
@@ -113,7 +118,8 @@ def windows(hashes: np.ndarray, size: int) -> np.ndarray:
     out = np.full(n, np.uint64(size), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(size):
-            out = out * np.uint64(0x9FB21C651E98DF25) + hashes[k : k + n]
+            out = (out ^ hashes[k : k + n]) * np.uint64(0x9FB21C651E98DF25)
+            out ^= out >> np.uint64(32)
     return mix(out)
 
 

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import components, contamination, pii, quality, secrets, sets, sha
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm import decontaminate, jaccard, licenses, linededup, packing, quality as rules, sharding, urlfilter
 from ledgerleaf.llm import pii as personal
 from ledgerleaf.llm import secrets as scan
+from ledgerleaf.llm.textkit import NOT_SPACE, text_buffer, windows, words_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -407,3 +409,56 @@ def test_empty_tables(spark, docs):
     assert licenses.scan_licenses(none.withColumn("path", F.lit("p"))).count() == 0
     assert decontaminate.find_contamination(none, spark.createDataFrame([], "item_id long, text string")).count() == 0
     assert urlfilter.judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_words_of_equal_algebra_differ():
+    """Thue-Morse words and their opposites collide under every polynomial modulo a power of two."""
+    rows = []
+    for n in (32, 64, 1024, 2048, 4096):
+        word = "a"
+        while len(word) < n:
+            word += word.translate(str.maketrans("ab", "ba"))
+        rows += [word, word.translate(str.maketrans("ab", "ba"))]
+    data, offsets = text_buffer(pa.array(rows))
+    h = words_of(data, offsets, NOT_SPACE)[0]
+    assert len(set(h.tolist())) == len(rows)
+    sequence = np.array([h[2] if c == "a" else h[3] for c in rows[4]], np.uint64)
+    assert windows(sequence, 1024)[0] != windows(np.where(sequence == h[2], h[3], h[2]), 1024)[0]
+
+
+def test_jaccard_groups_have_several_classes(spark, monkeypatch):
+    """Sets of one size with equal prefixes: they are grouped, expanded, and verified member by member;
+    one crowd of them is too large for a group."""
+    expanded = []
+    monkeypatch.setattr(jaccard, "verified", lambda docs, pairs, *a, check=jaccard.verified: expanded.append(pairs.count()) or check(docs, pairs, *a))
+    rng = random.Random(6)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(1000 + i, " ".join(common)) for i in range(3)]  # makes all but the first words frequent
+    for k in range(4):
+        rare = [f"r{k}x{i}" for i in range(16)]
+        for i in range(4 if k else 12):
+            words = rare + common
+            for at in rng.sample(range(30, 70), i % 3):
+                words[at] = rng.choice(common)
+            rows.append((100 * k + i, " ".join(words)))
+    found, _ = jaccard._joined(frame(spark, rows), 1, 90, 100)
+    groups = [r["count"] for r in found.select("g", "n", "h1").distinct().groupBy("g", "n").count().collect()]
+    assert sum(1 < c <= jaccard.GROUP for c in groups) >= 2
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows), 1, 90, 100).collect()}
+    assert got == components(rows, 1, 90, 100)
+    assert expanded[0] > 0
+
+
+def test_jaccard_thousands_of_near_copies(spark):
+    """5,000 near copies at 80 %: few candidates a member, one component, every link counted."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        words[rng.randrange(120)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    got = jaccard.near_links(frame(spark, rows), 5, 80, 100).collect()
+    assert {r.component_id for r in got} == {0}
+    held = sets([rows[7], *rows], 5)
+    assert next(r.n_links for r in got if r.doc_id == 7) == sum(100 * len(held[7] & held[d]) >= 80 * len(held[7] | held[d]) for d in held if d != 7)
