@@ -462,3 +462,33 @@ def test_jaccard_thousands_of_near_copies(spark):
     assert {r.component_id for r in got} == {0}
     held = sets([rows[7], *rows], 5)
     assert next(r.n_links for r in got if r.doc_id == 7) == sum(100 * len(held[7] & held[d]) >= 80 * len(held[7] | held[d]) for d in held if d != 7)
+
+
+def test_line_dedup_leaves_nothing_of_random_trios(spark):
+    """Two documents share a run; an earlier one holds a part of it, often with lines of another."""
+    rng = random.Random(12)
+    line = lambda: " ".join(f"w{rng.getrandbits(40)}" for _ in range(rng.randint(5, 14)))
+    rows, runs = [], []
+    for k in range(1500):
+        run = [line() for _ in range(rng.randint(4, 9))]
+        a = rng.randrange(len(run))
+        b = rng.randint(a + 1, len(run))
+        shared = [run[a:b], run, run]
+        runs.append(run)
+        rows += [(10 * k + i, "\n".join([*(line() for _ in range(rng.randint(0, 3))), *x, *(line() for _ in range(rng.randint(1, 3)))])) for i, x in enumerate(shared)]
+    left = {r.doc_id: set(r.text.split("\n")) for r in linededup.drop_repeats(frame(spark, rows)).collect()}
+    long = [k for k, run in enumerate(runs) if sum(len(x.split()) for x in run) >= linededup.WINDOW_WORDS]
+    assert len(long) > 700
+    assert [k for k in long if left[10 * k + 2] & set(runs[k])] == []
+    assert all(set(run) <= left[10 * k] | left[10 * k + 1] for k, run in enumerate(runs))
+    fresh_lines = {x for _, t in rows for x in t.split("\n")} - {x for run in runs for x in run}
+    assert fresh_lines <= {x for t in left.values() for x in t}
+
+
+def test_line_dedup_tells_texts_of_one_id_apart(spark):
+    """A repeated id with another text keeps what no earlier text has."""
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    shared, own = [line(1), line(2)], [line(3), line(4)]
+    rows = [(1, "\n".join(shared)), (5, "\n".join([line(9), *shared])), (5, "\n".join([*own, line(8)])), (5, "\n".join([*own, line(8)]))]
+    left = sorted((r.doc_id, r.text) for r in linededup.drop_repeats(frame(spark, rows)).collect())
+    assert left == sorted([(1, "\n".join(shared)), (5, line(9)), *[(5, "\n".join([*own, line(8)]))] * 2])
