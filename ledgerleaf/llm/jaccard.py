@@ -584,7 +584,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     """``docs`` with only the least doc_id of each component; rows of a null doc_id stay."""
     found = near_duplicates(docs, size, num, den)
     gone = fresh(docs, "gone")
-    others = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    # Written first, so that the join with the texts is planned by its size: few ids are broadcast.
+    others = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
     return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
