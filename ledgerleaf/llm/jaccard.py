@@ -441,9 +441,11 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         else:
             # A group whose members are in several components may link with any.
             label = F.coalesce("component", F.col("cls"))
-            by_group = members.join(known.withColumnRenamed("node", "cls"), "cls", "left").groupBy("gid").agg(F.min(label).alias("low"), F.max(label).alias("high"))
-            labelled = groups.join(known.withColumnRenamed("node", "gid"), "gid", "left").join(by_group, "gid", "left")
-            labelled = labelled.withColumns({"comp": F.coalesce("low", "component", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
+            of_members = members.join(known.withColumnRenamed("node", "cls"), "cls", "left").select("gid", label.alias("low"))
+            both = known.select(F.col("node").alias("gid"), F.col("component").alias("low")).unionAll(of_members)
+            labels = materialise(both.groupBy("gid").agg(F.min("low").alias("low"), F.max("low").alias("high")))
+            used.append(labels)
+            labelled = groups.join(labels, "gid", "left").withColumns({"comp": F.coalesce("low", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
         got = materialise(candidate_pairs(postings(labelled, dealt_out, open_lists), num, den, turn))
         pairs = got.filter("a IS NOT NULL").select("a", "b", "grouped").distinct()
         wide = pairs.filter("grouped").select("a", "b")
