@@ -9,7 +9,8 @@ A rule must be such that of two overlapping matches the one that can end first a
 (so for every rule here); its matches are leftmost, longest and non-overlapping.
 
 Null and empty texts have no spans; repeated rows and null ids are reported row by row; other
-columns are ignored.
+columns are ignored.  Very long texts take time in proportion to their length.  Where kinds share a
+place, spans are ordered by start and then by the rules' order.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, table
@@ -263,25 +264,63 @@ class Anchored:
         return best
 
 
+def _rows(trees: list) -> list[list]:
+    """The searching automaton, state 0 first: a state is the list of its successors by byte; entry
+    256 holds the rules it accepts."""
+    moves, accepts, _ = deterministic(trees, True)
+    rows: list[list] = [[] for _ in accepts]
+    for row, targets, accepted in zip(rows, moves.tolist(), accepts):
+        row += [rows[t] for t in targets]
+        row.append(accepted)
+    return rows
+
+
 class Scanner:
     """All rules in one automaton; ``scan`` reads each byte once."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         trees = [parse(r.head + r.tail) for r in rules]
-        moves, accepts, _ = deterministic(trees, True)
-        self.rules = rules
-        # A state is the list of its successors by byte; entry 256 holds the rules it accepts.
-        rows: list[list] = [[] for _ in accepts]
-        for row, targets, accepted in zip(rows, moves.tolist(), accepts):
-            row += [rows[t] for t in targets]
-            row.append(accepted)
+        self.rules, self.trees = rules, trees
+        rows = _rows(trees)
         self.start, self.states = rows[0], len(rows)
+        self.own_starts: dict[int, list] = {}
         self.forward = [Anchored(t) for t in trees]
         self.backward = [Anchored(reverse(t)) for t in trees]
         self.heads = [Anchored(parse(r.head)) if r.head else None for r in rules]
 
+    def _match(self, data: bytes, k: int, low: int, stop: int) -> tuple[int, int, bool] | None:
+        """(start, end, whether it counts) of rule k's match that ends at ``stop`` or later and starts
+        at ``low`` or later."""
+        back = self.backward[k].longest(_Backward(data, low, stop))
+        if back < 1:
+            return None
+        start = stop - back
+        end = start + self.forward[k].longest(_Forward(data, start))
+        head = self.heads[k].longest(data[start:end]) if self.heads[k] else 0
+        return start, end, end - start - max(head, 0) >= self.rules[k].least
+
+    def _alone(self, data: bytes, k: int, low: int) -> Iterator[tuple[int, int, int]]:
+        """Rule k's matches from ``low`` on, by its own automaton, which starts anew after each."""
+        if k not in self.own_starts:
+            self.own_starts[k] = _rows([self.trees[k]])[0]
+        first = state = self.own_starts[k]
+        i, size = low, len(data)
+        while i < size:
+            state = state[data[i]]
+            i += 1
+            if state[256]:
+                start, end, counts = self._match(data, k, low, i)
+                if counts:
+                    yield start, end, k
+                low = i = end
+                state = first
+
     def scan(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(start, end, rule) in bytes, by start and rule; matches that are too short are dropped."""
+        """(start, end, rule) in bytes, by start and rule; matches that are too short are dropped.
+
+        Where the common automaton accepts a rule for the sake of bytes before that rule's last match,
+        the rule goes on by itself from there; so each rule adds at most one more pass over the text.
+        """
         found, done, state = [], [0] * len(self.rules), self.start
         for i, b in enumerate(data):
             state = state[b]
@@ -289,15 +328,14 @@ class Scanner:
                 for k in state[256]:
                     if i < done[k]:
                         continue
-                    back = self.backward[k].longest(_Backward(data, done[k], i + 1))
-                    if back < 1:
+                    got = self._match(data, k, done[k], i + 1)
+                    if got is None:
+                        found += self._alone(data, k, done[k])
+                        done[k] = len(data)
                         continue
-                    start = i + 1 - back
-                    end = start + self.forward[k].longest(_Forward(data, start))
-                    done[k] = end
-                    head = self.heads[k].longest(data[start:end]) if self.heads[k] else 0
-                    if end - start - max(head, 0) >= self.rules[k].least:
-                        found.append((start, end, k))
+                    done[k] = got[1]
+                    if got[2]:
+                        found.append((got[0], got[1], k))
         return sorted(found, key=lambda x: (x[0], x[2]))
 
 
@@ -353,13 +391,13 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SPANS)
 
 
-def digest(spans: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """Counts by base kind, hash of the base spans and text of all spans."""
+def digest(spans: DataFrame, kinds: tuple[str, ...], more: dict[str, Column] | None = None) -> DataFrame:
+    """Counts by base kind, hash of the base spans, text of all spans, and ``more`` columns."""
     written = lambda which: F.array_join(F.transform(which, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("spans", lambda x: x["base"])
     of_kind = lambda kind: F.filter(base, lambda x: x["kind"] == kind)
     counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return spans.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+    return spans.select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), *[c.alias(k) for k, c in (more or {}).items()])
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
