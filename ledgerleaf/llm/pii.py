@@ -4,10 +4,12 @@ Detectors run on the text as it stands (the base spans) and on a normalised copy
 transducers make: look-alike and non-ASCII characters become ASCII (one for one), spelled digits
 become digits, and written-out ``at`` / ``dot`` become ``@`` / ``.``.  Each transducer records
 which source characters a normalised character stands for, so spans found there are mapped back.
-A mapped span is added if it takes in something normalised and overlaps no span of its kind.
+A mapped span is added if it takes in something normalised and every base span of its kind lies beside
+or within it.
 
 Null and empty texts have no spans; repeated rows and null ids are reported row by row; other
-columns are ignored.
+columns are ignored.  Very long texts take time in proportion to their length.  Spans are ordered by
+kind, then start; of those that overlap only in part the base span counts.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -109,39 +111,45 @@ def lookalikes() -> dict[int, str]:
     return out | {ord(a): b for a, b in _MARKS.items()}
 
 
-@functools.cache
-def _lookalike() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, map(chr, sorted(lookalikes())))) + "]")
-
-
 _WORDS = {w: str(d) for d, names in enumerate(("zero|oh|null", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")) for w in names.split("|")}
 _SPELLED = "(?:" + "|".join(_WORDS) + ")"
+_UNIT = rf"(?:{_SPELLED}|[0-9]++)"
 _TOP = "(?:com|org|net|edu|gov|info|io|co|uk|de|fr|es|it|eu|us)"
 _RULES = re.compile(
     rf"""(?P<gone>[​-‍⁠﻿­]+)
     |(?P<at>(?<=[a-z0-9._%+-])\s?[\[({{<]\s?(?:at|@)\s?[\])}}>]\s?(?=[a-z0-9]))
     |(?P<dot>(?<=[a-z0-9])\s?[\[({{<]\s?(?:dot|\.)\s?[\])}}>]\s?(?=[a-z0-9]))
-    |(?P<words>(?<=[a-z0-9._%+-])\ at\ (?=[a-z0-9-]+(?:\ dot\ [a-z0-9-]+)+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.{_TOP}\b))
+    |(?P<words>(?<=[a-z0-9._%+-])\ at\ (?=[a-z0-9-]+(?P<spelled>\ dot\ [a-z0-9-]+)+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.{_TOP}\b))
     |(?P<point>(?<=[a-z0-9])\ dot\ (?=[a-z0-9]))
-    |(?P<run>\b(?:plus\ |\+\ ?)?{_SPELLED}(?:[ ,.-]{{1,2}}{_SPELLED}){{2,}}\b)
+    |(?P<run>(?<![a-z0-9])(?:plus\ |\+\ ?)?{_UNIT}(?:[ ,.-]{{1,2}}{_UNIT})+(?![a-z0-9]))
     |(?P<twisted>(?<![a-z0-9])(?=[0-9oli]*[0-9])[0-9oli]{{3,}}(?![a-z0-9]))""",
     re.X | re.I | re.A,
 )
-_HINT = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]| at | dot |[​-‍⁠﻿­]|{_SPELLED}[ ,.-]{{1,2}}{_SPELLED}|[0-9][oli]|[oli][0-9]", re.I | re.A)
-_PART = re.compile(rf"plus|\+|{_SPELLED}", re.I | re.A)
+_HINT = re.compile(rf"[\[({{<]\s?(?:at|dot|@|\.)\s?[\])}}>]| at | dot |[​-‍⁠﻿­]|{_SPELLED}[ ,.-]{{1,2}}{_UNIT}|[0-9][ ,.-]{{1,2}}{_SPELLED}|[0-9][oli]|[oli][0-9]", re.I | re.A)
+_PART = re.compile(rf"(plus|\+)\ ?|({_SPELLED})(?:[ ,.-]{{1,2}}(?={_SPELLED}))?", re.I | re.A)
 _TWIST = str.maketrans("oOlIiL", "001111")
+#: What a word before a plain `` at `` must have to be taken for the local part of an address.
+_LOCAL_MARK = re.compile(r"[0-9._%+-]")
 
 
-def _rewrite(kind: str, found: str) -> str | None:
+def _rewrite(m: re.Match) -> str | None:
+    kind, found = m.lastgroup, m.group()
     if kind == "gone":
         return ""
-    if kind in ("at", "words"):
+    if kind == "at":
         return "@"
+    if m["words"] is not None:
+        # In prose people are, meet and work "at example.com": only a spelled dot, or a word that is
+        # no plain one, tells an address.
+        word = m.string[max(0, m.start() - 64) : m.start()].rpartition(" ")[2]
+        return "@" if m["spelled"] is not None or _LOCAL_MARK.search(word) else None
     if kind in ("dot", "point"):
         return "."
     if kind == "twisted":
         return found.translate(_TWIST) if 2 * sum(map(str.isdigit, found)) >= len(found) and not found.isdigit() else None
-    return "".join("+" if x in ("plus", "+") else _WORDS[x] for x in (m.group().lower() for m in _PART.finditer(found)))
+    # Spelled digits that stand together become one number; figures and their separators stay.
+    new = _PART.sub(lambda x: "+" if x[1] else _WORDS[x[2].lower()], found)
+    return new if new != found else None
 
 
 class Mapped:
@@ -162,7 +170,7 @@ class Mapped:
 
         if _HINT.search(text):
             for m in _RULES.finditer(text):
-                new = _rewrite(m.lastgroup, m.group())
+                new = _rewrite(m)
                 if new is not None:
                     put(text[done : m.start()], done, False)
                     put(new, m.start(), True)
@@ -190,7 +198,9 @@ def spans(text: str) -> list[tuple[int, int, int, bool]]:
     more = []
     for kind, start, end in detect(mapped.text):
         a, b = mapped.span(start, end)
-        if text[a:b] != mapped.text[start:end] and not any(k == kind and a < e and s < b for k, s, e, _ in base):
+        # Beside the base spans, or one of them and more.
+        beside = all(k != kind or e <= a or b <= s or (a <= s and e <= b and (a, b) != (s, e)) for k, s, e, _ in base)
+        if beside and text[a:b] != mapped.text[start:end]:
             more.append((kind, a, b, False))
     return sorted(base + more) if more else base
 
@@ -211,4 +221,5 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import digest
 
-    return digest(find_pii(table(spark, sf_dir, "documents")), KINDS)
+    found = find_pii(table(spark, sf_dir, "documents"))
+    return digest(found, KINDS, {"n_spans": F.size("spans").cast("long")})
