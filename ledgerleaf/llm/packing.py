@@ -7,7 +7,9 @@ their classes independently of each other; the pieces that a worker's last, inco
 would hold (fewer than k a class, whatever the input's size) it packs first-fit, longest first.
 
 Nulls and empty texts are the end id alone.  Repeated rows are packed as separate documents.
-A null doc_id stays null.  An empty table gives an empty result.
+A null doc_id stays null.  A very long text is cut like any other, its pieces spread over workers.
+Pieces of equal length keep the order of ids.  Other columns are ignored.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from .common import bounded_batches, table
 CAPACITY = 4096
 #: A rest of at most so many ids is not cut further; it wastes under fine / capacity of a sequence.
 FINE = 64
-#: Documents that one worker packs; sets the number of workers.
-DOCS_PER_WORKER = 50_000
-#: Pieces of text, and chunks of it, whose ids a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Documents, and bytes of their texts, that one worker packs; they set the number of workers.
+DOCS_PER_WORKER, BYTES_PER_WORKER = 50_000, 1 << 30
+#: Pieces of text, and chunks of it, whose ids a Python worker remembers, and the longest that is
+#: kept: together under some 200 MB.
+REMEMBERED, LONGEST = 500_000, 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -60,6 +63,7 @@ class ChunkEncoder:
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.long: list[str] = []  # parts not to be kept beyond one call
         self.end = b"" if end_id is None else np.uint32(end_id).astype("<u4").tobytes()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -84,13 +88,13 @@ class ChunkEncoder:
                 self.pieces[piece] = flat[at:to]
                 at = to
 
-    @staticmethod
-    def _new(parts: list[list[str]], known: dict[str, bytes]) -> list[str]:
+    def _new(self, parts: list[list[str]], known: dict[str, bytes]) -> list[str]:
         wanted = set().union(*parts)
         new = list(wanted.difference(known))
         if len(known) + len(new) > REMEMBERED:
             known.clear()
             new = list(wanted)
+        self.long += [x for x in new if len(x) > LONGEST]
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -101,7 +105,12 @@ class ChunkEncoder:
         self._encode_pieces(self._new([x for x, p in zip(parts, plain) if p], self.pieces))
         self._encode_each(self._new([x for x, p in zip(parts, plain) if not p], self.chunks), self.chunks)
         of_piece, of_chunk = self.pieces.__getitem__, self.chunks.__getitem__
-        return [b"".join(map(of_piece if p else of_chunk, x)) + self.end for x, p in zip(parts, plain)]
+        out = [b"".join(map(of_piece if p else of_chunk, x)) + self.end for x, p in zip(parts, plain)]
+        for known in (self.pieces, self.chunks):
+            for part in [x for x in self.long if x in known]:
+                del known[part]
+        self.long.clear()
+        return out
 
 
 _encoders: dict[tuple, ChunkEncoder] = {}
@@ -124,28 +133,34 @@ def cuts(n: int, capacity: int, fine: int) -> list[int]:
     return out + [n] * (n > 0)
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, capacity: int = CAPACITY, fine: int = FINE) -> DataFrame:
-    """One row per piece of each document of (doc_id, text)."""
+def _pieces(docs: DataFrame, tokenizer: str, end_id: int | None, capacity: int, fine: int) -> DataFrame:
+    """``pieces`` with a row_key that tells rows of one id apart."""
     if capacity < 1 or fine < 1:
         raise ValueError("capacity and fine must be positive")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, end_id)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, keys = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             texts = batch.column(1).fill_null("").to_pylist()
             for i in range(0, len(ids), 500):
                 rows: list[tuple] = []
-                for doc, got in zip(ids[i : i + 500], enc.encode(texts[i : i + 500])):
+                for doc, key, got in zip(ids[i : i + 500], keys[i : i + 500], enc.encode(texts[i : i + 500])):
                     n, at, view = len(got) // 4, 0, memoryview(got)
                     for length in cuts(n, capacity, fine):
-                        rows.append((doc, at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n))
+                        rows.append((doc, at, length, zlib.crc32(view[4 * at : 4 * (at + length)]), n, key))
                         at += length
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "row_key"])
 
     bounded_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row_key"))
+    return keyed.mapInArrow(run, PIECES + ", row_key long")
+
+
+def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 2, capacity: int = CAPACITY, fine: int = FINE) -> DataFrame:
+    """One row per piece of each document of (doc_id, text)."""
+    return _pieces(docs, tokenizer, end_id, capacity, fine).drop("row_key")
 
 
 def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,17 +209,18 @@ def fill(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, capacity: int = CAPACITY, fine: int = FINE, docs_per_worker: int = DOCS_PER_WORKER) -> DataFrame:
     """Pieces with their sequence and their offset in it; sequence ids are unique, not dense."""
-    workers = max(1, math.ceil(docs.count() / docs_per_worker))
+    held = docs.agg(F.count("*"), F.sum(F.octet_length(F.col("text").cast("string")))).first()
+    workers = max(1, math.ceil(held[0] / docs_per_worker), math.ceil((held[1] or 0) / BYTES_PER_WORKER))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start"], kind="stable")
+        pdf = pdf.sort_values(["doc_id", "start", "row_key"], kind="stable")
         bins, pdf["offset"] = fill(pdf["length"].to_numpy(), capacity)
         pdf["sequence_id"] = bins * workers + int(key[0])
         return pdf[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
-    cut = pieces(docs, tokenizer, end_id, capacity, fine)
-    # By document and place: the pieces of one huge document spread over the workers too.
-    worker = F.pmod(F.xxhash64("doc_id", "start"), F.lit(workers)).alias("worker")
+    cut = _pieces(docs, tokenizer, end_id, capacity, fine)
+    # By row and place: rows of one id, and the pieces of one huge document, spread over the workers.
+    worker = F.pmod(F.xxhash64("row_key", "start"), F.lit(workers)).alias("worker")
     return cut.withColumn("worker", worker).groupBy("worker").applyInPandas(run, PACKED)
 
 
