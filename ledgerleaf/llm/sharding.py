@@ -6,7 +6,8 @@ for one), and a shard that comes or goes moves few slots of the others.  A docum
 hash of its key; its shard is read from the table, which is broadcast: its size is a parameter and
 does not follow the data.
 
-Null ids share one slot; repeated rows get the same shard; texts and other columns are not read.
+Null ids share one slot; repeated rows get the same shard; texts, however long, and other columns
+are not read.  The key's column may not be called slot or shard.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ def fill_table(shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> np.ndarr
 
 def assign_shards(docs: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """(key, slot, shard) of each row."""
+    if key.lower() in ("slot", "shard"):
+        raise ValueError("the key's column has the name of a result's")
     spark = docs.sparkSession
     owner = fill_table(shards, slots)
     lookup = spark.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "slot long, shard string")

@@ -2,8 +2,10 @@ import sys
 from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
+import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -492,3 +494,85 @@ def test_line_dedup_tells_texts_of_one_id_apart(spark):
     rows = [(1, "\n".join(shared)), (5, "\n".join([line(9), *shared])), (5, "\n".join([*own, line(8)])), (5, "\n".join([*own, line(8)]))]
     left = sorted((r.doc_id, r.text) for r in linededup.drop_repeats(frame(spark, rows)).collect())
     assert left == sorted([(1, "\n".join(shared)), (5, line(9)), *[(5, "\n".join([*own, line(8)]))] * 2])
+
+
+def test_secrets_in_long_hostile_text():
+    """A megabyte that keeps a rule accepting for the sake of bytes before its last match."""
+    text = b"eyJa.eyJb.eyJc.eyJ" + b"q" * 1_000_000 + b" token=" + b"x" * 10 + b" eyJa.b.c.eyJ" + b"r" * 40 + b".f.g"
+    began = time.perf_counter()
+    got = scan.scanner(scan.RULES).scan(text)
+    assert time.perf_counter() - began < 30
+    assert got == sorted((m.start(), m.end(), k) for k, r in enumerate(scan.RULES) for m in re.finditer((r.head + r.tail).encode(), text) if m.end() - m.start() - (len(re.match(r.head.encode(), m.group()).group()) if r.head else 0) >= r.least)
+    assert len(got) == 2
+
+
+def test_prose_around_domains_is_no_address():
+    for text in ("He works at acme.co.uk now", "see you at example.com", "the store at amazon.com sells", "one, two and 3 of 4", "chapter one 2 three"):
+        assert personal.spans(text) == [], text
+
+
+def test_disguises_recall():
+    """Generated disguises with known spans: nearly all are found, and nothing in the words around them."""
+    rng = random.Random(11)
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    word = lambda: "".join(rng.choices("abcdeilnorst", k=rng.randint(3, 8)))
+    prose = lambda: " ".join(rng.choice(["we", "met", "at the", "a dot on", "of", "one", "river", "in", "2001", "and", "at noon"]) for _ in range(rng.randint(3, 12)))
+    wanted = found = false = 0
+    for n in range(3000):
+        shape = n % 6
+        if shape == 0:
+            kind, item = "email", f"{word()}.{word()} at {word()} dot com"
+        elif shape == 1:
+            kind, item = "email", f"{word()} [at] {word()} (dot) org"
+        elif shape == 2:
+            kind, item = "email", f"{word()}@{word()}.com".replace("o", "о").replace("a", "а")
+            if item.isascii():
+                continue
+        elif shape == 3:
+            kind, item = "phone", "+" + " ".join(rng.choice([names[d], str(d)]) for d in rng.choices(range(10), k=11))
+            if not re.search("[a-z]", item):
+                continue
+        elif shape == 4:
+            kind, item = "phone", "plus " + " ".join(names[d] for d in rng.choices(range(10), k=rng.randint(8, 14)))
+        else:
+            digits = rng.choices(range(10), k=15)
+            last = next(d for d in range(10) if personal._luhn("".join(map(str, [*digits, d]))))
+            kind, item = "card", " ".join(names[d] for d in [*digits, last])
+        before, after = prose() + " x, ", "; " + prose()
+        text = before + item + after
+        spans = [(personal.KINDS[k], a, b) for k, a, b, base in personal.spans(text) if not base]
+        wanted += 1
+        found += (kind, len(before), len(before) + len(item)) in spans
+        false += sum(b <= len(before) or a >= len(before) + len(item) for _, a, b in spans)
+    assert found >= 0.97 * wanted and false == 0, (found, wanted, false)
+
+
+def test_packing_spreads_rows_of_one_id(spark):
+    path = packing.tokenizer_path()
+    rows = packing.pack(frame(spark, [(None, "some words")] * 4000 + [(7, "some words")] * 4000), path, docs_per_worker=1000).collect()
+    workers = np.bincount([r.sequence_id % 8 for r in rows])
+    assert len(workers) == 8 and workers.max() < 1300 and len(rows) == 8000
+
+
+def test_encoder_keeps_no_long_parts():
+    enc = packing.ChunkEncoder(packing.tokenizer_path(), None)
+    texts = ["x" * 50_000, "日本" * 30_000, "a b"]
+    assert enc.encode(texts) == enc.encode(texts)
+    assert max(map(len, [*enc.pieces, *enc.chunks])) <= packing.LONGEST
+
+
+def test_shards_equal_a_plain_version(spark, clash):
+    """Slots recomputed from MD5, and the table filled turn by turn from whole permutations."""
+    slots, names = 101, ("a", "b", "c", "d", "e")
+    number = lambda name, salt: int.from_bytes(hashlib.blake2b(f"{salt}:{name}".encode(), digest_size=8).digest(), "big")
+    wishes = {s: iter([(number(s, "offset") + j * (number(s, "step") % (slots - 1) + 1)) % slots for j in range(slots)]) for s in names}
+    owner = {}
+    while len(owner) < slots:
+        for s in names:
+            if len(owner) < slots:
+                owner[next(x for x in wishes[s] if x not in owner)] = s
+    got = sharding.assign_shards(clash, shards=names, slots=slots).collect()
+    slot = lambda key: int(hashlib.md5(("" if key is None else str(key)).encode()).hexdigest()[:15], 16) % slots
+    assert sorted(map(repr, map(tuple, got))) == sorted(repr((d, slot(d), owner[slot(d)])) for d, _ in corpus())
+    with pytest.raises(ValueError):
+        sharding.assign_shards(clash, key="slot")
