@@ -1,15 +1,18 @@
 """Operator 7: benchmark decontamination by a broadcast hash set of test n-grams.
 
 The windows of ``size`` consecutive words of every test item (all its words, if they are fewer) go
-into a hash set whose size is counted first; a set beyond ``limit`` windows is cut into blocks, and
-each block scans the corpus as it came, and what the blocks find is brought together by row before
-anything is cut or dropped.  Documents are hashed where Arrow holds them; a bit table
-turns away nearly all windows, binary search most others, and what is left is compared word by
-word with the item's own text.
+into a hash set of distinct (window, item) rows, counted first; a set beyond ``limit`` rows is cut
+into blocks, fetched, broadcast and freed one after another.  Each block scans the texts as they
+came, what it finds is written, and the findings of all blocks are brought together by row before
+anything is cut or dropped: results do not depend on ``limit``.  Documents are hashed where Arrow
+holds them; a bit table turns away nearly all windows, binary search most others, and what is left
+is compared word by word with the item's own text.
 
 Null and empty texts have no words.  Repeated rows and null ids are reported row by row; of a null
-item_id only its windows count.  An empty benchmark contaminates nothing.  Other columns are
-ignored, and kept by ``remove_contamination``.
+item_id only its windows count.  Items with the same window all count as found.  Very long texts
+take time in proportion to their length.  Empty tables: no documents give no rows, and an empty
+benchmark contaminates nothing.  Other columns are ignored, and kept by ``remove_contamination``,
+where n_chars, if there, follows the text.
 """
 
 from __future__ import annotations
@@ -18,44 +21,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise, table
+from .common import bounded_batches, fresh, materialise, release, table
 from .textkit import ALNUM, FOLD, text_buffer, windows, words_of
 
 SIZE = 10
-#: Windows that one broadcast set may hold: 2 million, about 250 MB at 10 words of 6 letters.
-LIMIT = 2_000_000
+#: (window, item) rows that one broadcast set may hold: about 100 MB at 10 words of 6 letters.
+LIMIT = 1_000_000
 
 _BITS = 22
 
 
 class NgramSet:
-    """Windows of test items by length: hash -> (normalised words, items)."""
-
-    def __init__(self, grams: list[tuple[int, bytes, str]]):
-        """grams: (words, the words joined by a space, item)."""
-        self.lengths = sorted({n for n, _, _ in grams})
+    """Windows of test items by length, in flat arrays: hashes in order, the words of each, its items."""
+
+    def __init__(self, grams: pa.Table):
+        """grams: (n words, the words joined by a space, item) rows, distinct."""
+        names = grams.column("item").combine_chunks().dictionary_encode()
+        self.items: list[str | None] = [*names.dictionary.to_pylist(), None]
+        item = names.indices.fill_null(len(self.items) - 1).to_numpy(zero_copy_only=False)
+        lengths, spelled = grams.column("n").to_numpy(), grams.column("words").combine_chunks()
         self.sets = {}
-        for n in self.lengths:
-            held: dict[bytes, set[str]] = {}
-            for m, words, item in grams:
-                if m == n:
-                    held.setdefault(words, set()).add(item)
-            keys = list(held)
-            data, offsets = text_buffer(pa.array([k.decode("utf-8", "surrogatepass") for k in keys], pa.string()))
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            data, offsets = text_buffer(spelled.take(pa.array(own)).cast(pa.string()))
             h, _, _, first = words_of(data, offsets, ALNUM)
-            hashes = np.array([windows(h[a:b], n)[0] for a, b in zip(first[:-1], first[1:])], np.uint64)
-            order = np.argsort(hashes, kind="stable")
+            every = windows(h, n)[first[:-1]]
+            order = np.argsort(every, kind="stable")
             bits = np.zeros(1 << _BITS, bool)
-            bits[hashes & np.uint64((1 << _BITS) - 1)] = True
-            self.sets[n] = hashes[order], [(keys[i], sorted(held[keys[i]])) for i in order.tolist()], bits
+            bits[every & np.uint64((1 << _BITS) - 1)] = True
+            self.sets[n] = every[order], data.copy(), offsets[order], offsets[order + 1], item[own][order], bits
 
     def hits(self, data: np.ndarray, h: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, list[str]]]:
         """(first word, words, items) of each window of the texts that is in the set."""
-        for n in self.lengths:
-            known, words, bits = self.sets[n]
+        for n, (known, spelled, low, high, item, bits) in self.sets.items():
             got = windows(h, n)
             at = np.flatnonzero(bits[got & np.uint64((1 << _BITS) - 1)])
             place = np.searchsorted(known, got[at])
@@ -66,12 +68,15 @@ class NgramSet:
             text = np.searchsorted(first, at, "right")
             inside = at + n <= first[np.minimum(text, len(first) - 1)]
             for i, k in zip(at[inside].tolist(), place[inside].tolist()):
-                spelled = b" ".join(FOLD[data[a:b]].tobytes() for a, b in zip(start[i : i + n].tolist(), end[i : i + n].tolist()))
+                words = b" ".join(FOLD[data[a:b]].tobytes() for a, b in zip(start[i : i + n].tolist(), end[i : i + n].tolist()))
+                items, same = [], None
                 while k < len(known) and known[k] == got[i]:
-                    if words[k][0] == spelled:
-                        yield i, n, words[k][1]
-                        break
+                    if spelled[low[k] : high[k]].tobytes() == words:
+                        same = True
+                        items.append(self.items[item[k]])
                     k += 1
+                if same:
+                    yield i, n, items
 
 
 def benchmark_grams(items: DataFrame, size: int = SIZE) -> DataFrame:
@@ -93,14 +98,18 @@ def benchmark_grams(items: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 HITS = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks(items: DataFrame, size: int, limit: int) -> list[NgramSet]:
-    grams = benchmark_grams(items, size)
-    total = grams.count()
-    parts = -(-total // limit) or 1
-    block = F.pmod(F.xxhash64("words"), F.lit(parts))
-    return [NgramSet([(r.n, bytes(r.words), r.item) for r in grams.filter(block == i).collect()]) for i in range(parts)]
+def _blocks(items: DataFrame, size: int, limit: int) -> Iterator[tuple[int, Broadcast]]:
+    """(number of blocks, block) one after another; the driver and the executors hold one at a time."""
+    spark = items.sparkSession
+    grams = materialise(benchmark_grams(items, size).distinct())
+    parts = -(-grams.count() // limit) or 1
+    block = F.pmod(F.xxhash64("words", "item"), F.lit(parts))
+    for i in range(parts):
+        yield parts, spark.sparkContext.broadcast(NgramSet(grams.filter(block == i).toArrow()))
+    release(grams)
 
 
 def _covered(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -127,82 +136,90 @@ def _scan(batch: pa.RecordBatch, grams: NgramSet):
     return data, offsets, start, end, first, runs, items
 
 
+def _report(batch: pa.RecordBatch, grams: NgramSet) -> list[pa.Array]:
+    """n_words, items and spans of each row."""
+    _, _, _, _, first, runs, got = _scan(batch, grams)
+    base = first[:-1].tolist()
+    return [
+        pa.array(np.diff(first), pa.int64()),
+        pa.array([sorted(got.get(i, ())) for i in range(len(batch))], pa.list_(pa.string())),
+        pa.array([[{"start": a - f, "end": b - f} for a, b in _covered(runs.get(i, []))] for i, f in enumerate(base)], _SPANS),
+    ]
+
+
+def _found_by_blocks(keyed: DataFrame, key: str, blocks: Iterator[Broadcast]) -> DataFrame:
+    """(key, items, spans) of the rows of ``keyed`` (a written table of key and text) that any block
+    hits, brought together; spans are disjoint and in order."""
+    parts = None
+
+    def found(held: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, items, spans = _report(batch, held.value)
+                hit = pa.array([len(x) > 0 for x in spans.to_pylist()], pa.bool_())
+                yield pa.RecordBatch.from_arrays([batch.column(0), items, spans], names=[key, "items", "spans"]).filter(hit)
+
+        return keyed.mapInArrow(run, f"{key} long, items array<string>, spans array<struct<start:long,end:long>>")
+
+    for held in blocks:
+        part = materialise(found(held))
+        held.destroy()
+        parts = part if parts is None else parts.unionAll(part)
+    lists = parts.groupBy(key).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = [[{"start": a, "end": b} for a, b in _covered([(x["start"], x["end"]) for x in own])] for own in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, _SPANS)], names=[key, "items", "spans"])
+
+    return lists.mapInArrow(joined, f"{key} long, items array<string>, spans array<struct<start:long,end:long>>")
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, limit: int = LIMIT) -> DataFrame:
     """Per row of (doc_id, text): words, hit words, items that occur, and the runs of hit words."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     blocks = _blocks(items, size, limit)
+    parts, held = next(blocks)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-
-    def scanned(grams: NgramSet) -> DataFrame:
-        held = spark.sparkContext.broadcast(grams)
+    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit")
+    if parts == 1:
+        next(blocks, None)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                _, _, _, _, first, runs, got = _scan(batch, held.value)
-                spans = [_covered(runs.get(i, [])) for i in range(len(batch))]
-                base = first[:-1].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        pa.array(np.diff(first), pa.int64()),
-                        pa.array([sum(b - a for a, b in s) for s in spans], pa.int64()),
-                        pa.array([sorted(got.get(i, ())) for i in range(len(batch))], pa.list_(pa.string())),
-                        pa.array([[{"start": a - f, "end": b - f} for a, b in s] for f, s in zip(base, spans)], spans_type),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans"],
-                )
-
-        return source.mapInArrow(run, HITS)
-
-    if len(blocks) == 1:
-        return scanned(blocks[0])
-    # Several blocks: rows with hits of each, brought together by row.
-    return _merged(source.withColumn("row_key", F.monotonically_increasing_id()), "row_key", blocks, spark)
-
-
-def _merged(source: DataFrame, key: str, blocks: list[NgramSet], spark: SparkSession, keep_key: bool = False) -> DataFrame:
-    source = materialise(source)
-    schema = f"{key} long, doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>"
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    parts = None
-    for grams in blocks:
-        held = spark.sparkContext.broadcast(grams)
+                yield pa.RecordBatch.from_arrays([batch.column(0), *_report(batch, held.value)], names=["doc_id", "n_words", "items", "spans"])
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, _, _, _, first, runs, got = _scan(batch, held.value)
-                base = first[:-1].tolist()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(batch.schema.get_field_index(key)),
-                        batch.column(0),
-                        pa.array(np.diff(first), pa.int64()),
-                        pa.array([sorted(got.get(i, ())) for i in range(len(batch))], pa.list_(pa.string())),
-                        pa.array([[{"start": a - f, "end": b - f} for a, b in _covered(runs.get(i, []))] for i, f in enumerate(base)], spans_type),
-                    ],
-                    names=[key, "doc_id", "n_words", "items", "spans"],
-                )
-
-        part = source.mapInArrow(run, schema)
-        parts = part if parts is None else parts.unionAll(part)
-    joined = parts.groupBy(key).agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    empty = F.array().cast("array<struct<start:long,end:long>>")
-    step = lambda out, x: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= x["start"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x)))
-    spans = F.aggregate("spans", empty, step)
-    return joined.withColumn("spans", F.when(F.size("spans") > 0, spans).otherwise(empty)).select(*[key] * keep_key, "doc_id", "n_words", F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"]).alias("n_hit"), "items", "spans")
+        found = source.mapInArrow(run, "doc_id long, n_words long, items array<string>, spans array<struct<start:long,end:long>>")
+        return found.select("doc_id", "n_words", hit, "items", "spans")
+
+    keyed = materialise(source.withColumn("row_key", F.monotonically_increasing_id()))
+    found = _found_by_blocks(keyed.select("row_key", "text"), "row_key", _rest(held, blocks))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = words_of(*text_buffer(batch.column(1)), ALNUM)[3]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(first), pa.int64()), batch.column(2)], names=["doc_id", "n_words", "row_key"])
+
+    rows = keyed.mapInArrow(count, "doc_id long, n_words long, row_key long").join(found, "row_key", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return rows.select("doc_id", "n_words", none("items", "array<string>"), none("spans", "array<struct<start:long,end:long>>")).select("doc_id", "n_words", hit, "items", "spans")
+
+
+def _rest(held: Broadcast, blocks: Iterator[tuple[int, Broadcast]]) -> Iterator[Broadcast]:
+    yield held
+    for _, more in blocks:
+        yield more
 
 
 def remove_contamination(docs: DataFrame, items: DataFrame, size: int = SIZE, limit: int = LIMIT, drop_from: float = 0.5) -> DataFrame:
     """``docs`` without the hit passages; a document of which ``drop_from`` of the words or more are
     hit, goes whole.  Rows without a hit come back as they are."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     blocks = _blocks(items, size, limit)
-    if len(blocks) > 1:
-        return _cut_merged(docs, blocks, drop_from, spark)
-    held = spark.sparkContext.broadcast(blocks[0])
+    parts, held = next(blocks)
+    if parts > 1:
+        return _cut_merged(docs, _rest(held, blocks), drop_from)
+    next(blocks, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,15 +249,20 @@ def _cut(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, start: np
         texts[row] = t
     columns = list(batch.columns)
     columns[i] = pa.array(texts, batch.schema.field(i).type)
+    k = batch.schema.get_field_index("n_chars")
+    if k >= 0 and pa.types.is_integer(batch.schema.field(k).type):
+        sizes = batch.column(k).to_pylist()
+        for row, t in new.items():
+            sizes[row] = len(t)
+        columns[k] = pa.array(sizes, batch.schema.field(k).type)
     return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
 
 
-def _cut_merged(docs: DataFrame, blocks: list[NgramSet], drop_from: float, spark: SparkSession) -> DataFrame:
+def _cut_merged(docs: DataFrame, blocks: Iterator[Broadcast], drop_from: float) -> DataFrame:
     """Each block scans the texts as they came; a row's runs of all blocks are cut at once."""
     key, spans = fresh(docs, "row_key"), fresh(docs, "hit_spans")
     source = materialise(docs.withColumn(key, F.monotonically_increasing_id()))
-    plain = source.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(key).alias("row_key"))
-    found = _merged(plain, "row_key", blocks, spark, keep_key=True).filter("n_hit > 0").select(F.col("row_key").alias(key), F.col("spans").alias(spans))
+    found = materialise(_found_by_blocks(source.select(key, F.col("text").cast("string").alias("text")), key, blocks).select(key, F.col("spans").alias(spans)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

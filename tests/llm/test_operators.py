@@ -226,8 +226,10 @@ def test_contamination_is_cut_alike_in_several_blocks(spark):
     free = lambda n: " ".join(f"f{i}" for i in range(n))
     rows = [(k, f"{free(50)}, {p}; {free(40)}.") for k, p in enumerate(passages)] + [(10, f"{free(30)} {passages[0]}"), (11, free(20)), (None, None), (12, passages[1])]
     whole = decontaminate.remove_contamination(frame(spark, rows), bench).collect()
-    parts = decontaminate.remove_contamination(frame(spark, rows), bench, limit=20).collect()
-    assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+    for limit in (8, 20):
+        parts = decontaminate.remove_contamination(frame(spark, rows), bench, limit=limit).collect()
+        assert sorted(map(repr, parts)) == sorted(map(repr, whole))
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in whole)
     assert {r.doc_id for r in parts} == {*range(6), 11, None}
     assert not any("q" in (r.text or "") for r in parts)
 
