@@ -33,8 +33,8 @@ FINE = 64
 #: Documents, and bytes of their texts, that one worker packs; they set the number of workers.
 DOCS_PER_WORKER, BYTES_PER_WORKER = 50_000, 1 << 30
 #: Pieces of text, and chunks of it, whose ids a Python worker remembers, and the longest that is
-#: kept: together under some 200 MB.
-REMEMBERED, LONGEST = 500_000, 32
+#: kept: together under some 120 MB.
+REMEMBERED, LONGEST = 300_000, 32
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = PIECES + ", sequence_id long, offset long"
