@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes that one Arrow batch may hold; bounds what a Python worker keeps at once.
 BATCH_CONF = {
@@ -60,6 +61,17 @@ def release(*tables: DataFrame | None) -> None:
             held.getFileSystem(spark._jsc.hadoopConfiguration()).delete(held, True)
 
 
+#: Rows (or items in them) of a table that may be broadcast: some 30 to 60 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame, weight: Column | None = None) -> DataFrame:
+    """A written table, marked to be broadcast if it has few rows (or little ``weight`` in all), so
+    that the other side, texts above all, is not shuffled; else to be joined by sorting."""
+    held = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if held <= BROADCAST_ROWS else df.hint("merge")
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has (names compare case-insensitively)."""
     taken = {c.lower() for c in df.columns}

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise, release, table
+from .common import bounded_batches, fresh, materialise, release, sized, table
 from .components import connected
 from .textkit import NOT_SPACE, mix, shingles, text_buffer, words_of
 
@@ -167,10 +167,10 @@ _COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
 
 
 def long_lists(groups: DataFrame) -> DataFrame:
-    """(token, parts) of the shingles that over LIST groups have in their prefixes: the blocks to deal
+    """(token, heavy, parts) of the shingles that over LIST groups have in their prefixes: the blocks to deal
     them in.  Only shingles whose counter is that high are counted."""
     each = groups.select(F.explode(F.arrays_zip("prefix", "heavy")).alias("x")).filter("x.heavy").select(F.col("x.prefix").alias("token"))
-    return each.groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") > LIST).select("token", F.ceil(F.col("held") / LIST).cast("int").alias("parts"))
+    return each.groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") > LIST).select("token", F.lit(True).alias("heavy"), F.ceil(F.col("held") / LIST).cast("int").alias("parts"))
 
 
 def postings(groups: DataFrame, dealt_out: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
@@ -180,9 +180,9 @@ def postings(groups: DataFrame, dealt_out: DataFrame, tokens: DataFrame | None =
     each = groups.select(*kept, F.posexplode(F.arrays_zip("prefix", "heavy")).alias("pos", "x"))
     each = each.select(F.col("x.prefix").alias("token"), F.col("x.heavy").alias("heavy"), "pos", *kept)
     if tokens is not None:
-        each = each.join(tokens, "token", "left_semi")
+        each = each.join(sized(tokens), "token", "left_semi")
     block = F.pmod(F.xxhash64("gid", F.lit(7)), F.col("parts")).cast("int")
-    each = each.join(dealt_out.withColumn("heavy", F.lit(True)), ["token", "heavy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
+    each = each.join(sized(dealt_out), ["token", "heavy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 20) + F.greatest("block", "other") + 1)
     return each.select("*", others).withColumn("dealt", dealt.cast("long")).select(*_COLUMNS).repartition("token", "dealt").sortWithinPartitions("token", "dealt", "n", "gid")
@@ -445,7 +445,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
             both = known.select(F.col("node").alias("gid"), F.col("component").alias("low")).unionAll(of_members)
             labels = materialise(both.groupBy("gid").agg(F.min("low").alias("low"), F.max("low").alias("high")))
             used.append(labels)
-            labelled = groups.join(labels, "gid", "left").withColumns({"comp": F.coalesce("low", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
+            labelled = groups.join(sized(labels), "gid", "left").withColumns({"comp": F.coalesce("low", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
         got = materialise(candidate_pairs(postings(labelled, dealt_out, open_lists), num, den, turn))
         pairs = got.filter("a IS NOT NULL").select("a", "b", "grouped").distinct()
         wide = pairs.filter("grouped").select("a", "b")
@@ -586,9 +586,8 @@ def keep_one(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> D
     """``docs`` with only the least doc_id of each component; rows of a null doc_id stay."""
     found = near_duplicates(docs, size, num, den)
     gone = fresh(docs, "gone")
-    # Written first, so that the join with the texts is planned by its size: few ids are broadcast.
     others = materialise(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct())
-    return docs.join(others, F.col("doc_id").cast("long") == F.col(gone), "left_anti")
+    return docs.join(sized(others), F.col("doc_id").cast("long") == F.col(gone), "left_anti")
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

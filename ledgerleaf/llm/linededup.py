@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh, materialise, release, table
+from .common import bounded_batches, fresh, materialise, release, sized, table
 from .textkit import NOT_SPACE, mix, text_buffer, words_of
 
 GRAM_WORDS = 25
@@ -215,6 +215,7 @@ def _with_runs(docs: DataFrame, gram_words: int, window_words: int) -> tuple[Dat
     """``docs`` with the runs that go from each row, and the name of that column."""
     key, version, gone = fresh(docs, "repeats_of"), fresh(docs, "repeats_version"), fresh(docs, "repeated_runs")
     runs = repeated_runs(docs, gram_words, window_words).select(F.col("doc_id").alias(key), F.col("version").alias(version), F.col("gone").alias(gone))
+    runs = sized(runs, 1 + F.size(gone))
     return docs.join(runs, (F.col("doc_id").cast("long") == F.col(key)) & (F.xxhash64(F.col("text").cast("string")) == F.col(version)), "left"), gone
 
 
