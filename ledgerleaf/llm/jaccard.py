@@ -162,7 +162,9 @@ def features(docs: DataFrame, size: int, num: int, den: int, sketch: tuple[np.nd
     return _source(docs).mapInArrow(run, FEATURES)
 
 
-POSTINGS = "token long, dealt long, n long, gid long, pos int, block int, several boolean, comp long, mixed boolean, m0 long, m1 long, m2 long, m3 long"
+#: In meta: the shingle's place (40 bits), whether the group has several members, whether they are in
+#: several components, and the block (20 bits).  Rows are kept small: they are what is shuffled most.
+POSTINGS = "token long, dealt long, n long, gid long, meta long, comp long, m0 long, m1 long, m2 long, m3 long"
 _COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
 
 
@@ -185,6 +187,8 @@ def postings(groups: DataFrame, dealt_out: DataFrame, tokens: DataFrame | None =
     each = each.join(sized(dealt_out), ["token", "heavy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 20) + F.greatest("block", "other") + 1)
+    flags = F.col("several").cast("long") + 2 * F.col("mixed").cast("long") + 4 * F.col("block").cast("long")
+    each = each.withColumn("meta", F.col("pos").cast("long") + flags * F.lit(1 << 40))
     return each.select("*", others).withColumn("dealt", dealt.cast("long")).select(*_COLUMNS).repartition("token", "dealt").sortWithinPartitions("token", "dealt", "n", "gid")
 
 
@@ -318,7 +322,10 @@ def candidate_pairs(lists: DataFrame, num: int, den: int, turn: int) -> DataFram
         rows = 0
 
         def columns(whole: pa.Table) -> dict[str, np.ndarray]:
-            return {k: whole.column(k).to_numpy() for k in _COLUMNS}
+            c = {k: whole.column(k).to_numpy() for k in _COLUMNS}
+            meta = c.pop("meta")
+            c |= {"pos": meta & ((1 << 40) - 1), "several": (meta >> 40 & 1).astype(bool), "mixed": (meta >> 41 & 1).astype(bool), "block": meta >> 42}
+            return c if turn else c | {"comp": c["gid"]}
 
         for batch in batches:
             waiting.append(batch)
@@ -403,7 +410,7 @@ _KEY = ["h1", "h2", "n"]
 
 
 def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """The features of each row, and (h1, h2, n, cls, component_id) of each class of equal sets."""
+    """(doc_id, h1, h2, n) of each row, and (h1, h2, n, cls, component_id) of each class of equal sets."""
     if not (0 < num <= den) or size < 1:
         raise ValueError("the threshold must lie in (0, 1] and shingles have a word")
     found = materialise(features(docs, size, num, den, count_sketch(docs, size)))
@@ -420,6 +427,8 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     members = classes.join(sums.filter((F.col("members") > 1) & (F.col("members") <= GROUP)).select("g", "n", "gid"), ["g", "n"]).select("gid", "cls")
     members = materialise(members)
     dealt_out = materialise(long_lists(groups))
+    rows = materialise(found.select("doc_id", *_KEY))
+    release(found)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of classes, from (a, b, grouped) of groups and from within groups."""
@@ -437,7 +446,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     turn, used = 0, []
     while True:
         if known is None:
-            labelled = groups.withColumns({"comp": F.col("gid"), "mixed": F.lit(False)})
+            labelled = groups.withColumns({"comp": F.lit(0).cast("long"), "mixed": F.lit(False)})  # each its own
         else:
             # A group whose members are in several components may link with any.
             label = F.coalesce("component", F.col("cls"))
@@ -468,7 +477,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
         tried, turn = new if tried is None else tried.unionAll(new), turn + 1
     component = known.select(F.col("node").alias("cls"), "component")
     release(groups, sums, members, dealt_out, open_lists, *used)
-    return found, classes.join(component, "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
+    return rows, classes.join(component, "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
 
 
 def _by_row(found: DataFrame, labels: DataFrame, columns: dict[str, Column]) -> DataFrame:

@@ -445,7 +445,7 @@ def test_jaccard_groups_have_several_classes(spark, monkeypatch):
             for at in rng.sample(range(30, 70), i % 3):
                 words[at] = rng.choice(common)
             rows.append((100 * k + i, " ".join(words)))
-    found, _ = jaccard._joined(frame(spark, rows), 1, 90, 100)
+    found = jaccard.features(frame(spark, rows), 1, 90, 100, jaccard.count_sketch(frame(spark, rows), 1))
     groups = [r["count"] for r in found.select("g", "n", "h1").distinct().groupBy("g", "n").count().collect()]
     assert sum(1 < c <= jaccard.GROUP for c in groups) >= 2
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, rows), 1, 90, 100).collect()}
