@@ -19,7 +19,7 @@ def find_object(text: str | None) -> dict | None:
     """The first JSON object of the fenced blocks, else of the whole text; None if there is none.
 
     A block that is valid JSON but no object yields nothing itself: an object inside a list is not
-    the answer.
+    the answer.  What is nested too deeply to be read is no object.
     """
     if not text or not text.strip():
         return None
@@ -27,12 +27,16 @@ def find_object(text: str | None) -> dict | None:
         candidate = candidate.strip()
         try:
             whole = json.loads(candidate)
+        except RecursionError:
+            continue
         except ValueError:
             at = candidate.find("{")
             while at >= 0:
                 try:
                     found, _ = _DECODER.raw_decode(candidate, at)
                     return found
+                except RecursionError:
+                    break
                 except ValueError:
                     at = candidate.find("{", at + 1)
         else:
@@ -44,18 +48,26 @@ def find_object(text: str | None) -> dict | None:
 @F.pandas_udf(T.StringType())
 def parse_json_object(replies: pd.Series) -> pd.Series:
     """The object as canonical JSON, or null."""
-    found = [find_object(t if isinstance(t, str) else None) for t in replies]
-    return pd.Series([None if x is None else json.dumps(x, ensure_ascii=False, sort_keys=True) for x in found], dtype=object)
 
+    def canonical(reply) -> str | None:
+        try:
+            found = find_object(reply if isinstance(reply, str) else None)
+            return None if found is None else json.dumps(found, ensure_ascii=False, sort_keys=True)
+        except RecursionError:
+            return None
 
-def _leaves(value, path: str, out: list) -> None:
-    if isinstance(value, dict) and value:
-        for k, x in value.items():
-            _leaves(x, f"{path}.{k}" if path else str(k), out)
-    elif isinstance(value, list) and value:
-        for i, x in enumerate(value):
-            _leaves(x, f"{path}.{i}", out)
-    else:
+    return pd.Series([canonical(t) for t in replies], dtype=object)
+
+
+def _leaves(value, out: list) -> None:
+    """Paths and leaves in document order, by a stack of our own: any depth that was read will do."""
+    todo = [(value, "")]
+    while todo:
+        value, path = todo.pop()
+        if isinstance(value, (dict, list)) and value:
+            inner = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += reversed([(x, f"{path}.{k}" if path else str(k)) for k, x in inner])
+            continue
         kind = "null" if value is None else "bool" if isinstance(value, bool) else "num" if isinstance(value, (int, float)) else "str" if isinstance(value, str) else "empty_list" if isinstance(value, list) else "empty_map"
         out.append({"path": path, "leaf": {"kind": kind, "num": float(value) if kind == "num" else None, "str": str(value).lower() if kind == "bool" else value if kind == "str" else None}})
 
@@ -63,11 +75,11 @@ def _leaves(value, path: str, out: list) -> None:
 def flat_object(text: str | None) -> list[dict]:
     try:
         value = json.loads(text) if text else None
-    except ValueError:
+    except (ValueError, RecursionError):
         value = None
     out: list[dict] = []
     if isinstance(value, dict) and value:
-        _leaves(value, "", out)
+        _leaves(value, out)
     return out
 
 

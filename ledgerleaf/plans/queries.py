@@ -123,7 +123,7 @@ def _flat_sql(vendor="vendor_name", total="total_c", q="q", ln="ln", inv="inv")
 
 
 _A = f"fa AS ({_flat_sql()})"
-_B = f"""lb AS (SELECT * FROM ln WHERE NOT (k % 9 = 0 AND idx = (SELECT max(idx) FROM ln x WHERE x.k = ln.k))),
+_B = f"""lb AS (SELECT * EXCLUDE (last_idx) FROM (SELECT *, max(idx) OVER (PARTITION BY k) AS last_idx FROM ln) WHERE NOT (k % 9 = 0 AND idx = last_idx)),
 ib AS (SELECT * FROM inv WHERE k % 41 <> 0),
 fb AS ({_flat_sql("CASE WHEN k % 12 <> 0 THEN vendor_name END", "(CASE WHEN k % 10 = 0 THEN total_c + 100 ELSE total_c END)", "CASE WHEN l.k % 8 = 0 AND idx = 0 THEN q + 1 ELSE q END", "lb", "ib")})"""
 _SAME = "(coalesce(a.kind, 'null') = coalesce(b.kind, 'null') AND a.num IS NOT DISTINCT FROM b.num AND a.str IS NOT DISTINCT FROM b.str)"

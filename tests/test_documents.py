@@ -207,3 +207,13 @@ def test_process(spark):
         with pytest.raises(ValueError):
             bad()
     assert json_schema(RECEIPT)["properties"]["items"]["items"]["properties"]["total"]["type"] == ["number", "null"]
+
+
+def test_replies_nested_too_deeply_hold_no_object():
+    from ledgerleaf.functions.replies import find_object, flat_object
+
+    assert find_object('{"a":' * 200_000) is None
+    assert flat_object('{"a":' * 200_000) == []
+    deep = '{"a":' * 1500 + "1" + "}" * 1500
+    assert [x["path"] for x in flat_object(deep)] in ([], [".".join("a" * 1500)])
+    assert [x["path"] for x in flat_object('{"a": [1, {"b": null}], "c": {}}')] == ["a.0", "a.1.b", "c"]
