@@ -73,6 +73,12 @@ def _any_in(c: Column, labels: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(c, F.lit(x)) for x in labels])
 
 
+def let(x: Column, made) -> Column:
+    """``made(x)`` with x evaluated once: a lambda's argument, where Catalyst would copy the
+    expression into each of its uses."""
+    return F.get(F.transform(F.array(x), lambda y: made(y)), F.lit(0))
+
+
 def amount_on_line(c: Column) -> Column:
     """The last amount on a line, as printed."""
     found = F.regexp_extract_all(normalise_digits(c), F.lit(r"[0-9][0-9,]*(?:\.[0-9]+)?"), 0)
@@ -82,16 +88,19 @@ def amount_on_line(c: Column) -> Column:
 def find_amount(c: Column, exact: tuple[str, ...] = TOTAL_LABELS, loose: tuple[str, ...] = LOOSE_TOTAL_LABELS, exclude: tuple[str, ...] = SUBTOTAL_MARKERS) -> Column:
     """The amount of the last line with an exact label; failing that, of the last with a loose one
     that is no subtotal."""
-    held = F.filter(lines(c), lambda x: amount_on_line(x).isNotNull())
-    last = lambda keep: amount_on_line(F.try_element_at(F.filter(held, keep), F.lit(-1)))
-    return F.coalesce(last(lambda x: _any_in(casefold(x), exact)), last(lambda x: _any_in(casefold(x), loose) & ~_any_in(casefold(x), exclude)))
+    # Only lines with a digit can hold an amount; each is folded once.
+    seen = F.transform(F.filter(lines(c), lambda x: normalise_digits(x).rlike("[0-9]")), lambda x: F.struct(casefold(x).alias("folded"), x.alias("line")))
+    last = lambda held, keep: F.try_element_at(F.filter(held, lambda x: keep(x["folded"])), F.lit(-1))["line"]
+    either = lambda held: F.coalesce(last(held, lambda x: _any_in(x, exact)), last(held, lambda x: _any_in(x, loose) & ~_any_in(x, exclude)))
+    return let(let(seen, either), amount_on_line)
 
 
 def find_label_value(c: Column, labels: tuple[str, ...] = INVOICE_NUMBER_LABELS) -> Column:
     """What follows the first label that has something after it on its line."""
-    rest = lambda x, label: F.regexp_replace(F.substring(x, F.locate(label, casefold(x)) + len(label), F.length(x)), r"^[ \t:#\-–—.]+|[ \t:#\-–—.]+$", "")
-    of_line = lambda x: F.coalesce(*[F.when((F.locate(a, casefold(x)) > 0) & (rest(x, a) != ""), rest(x, a)) for a in labels])
-    return F.try_element_at(F.filter(F.transform(lines(c), of_line), lambda x: x.isNotNull()), F.lit(1))
+    rest = lambda x, label: F.regexp_replace(F.substring(x["line"], F.locate(label, x["folded"]) + len(label), F.length(x["line"])), r"^[ \t:#\-–—.]+|[ \t:#\-–—.]+$", "")
+    of_line = lambda x: F.coalesce(*[F.when(F.locate(a, x["folded"]) > 0, F.nullif(rest(x, a), F.lit(""))) for a in labels])
+    seen = F.filter(F.transform(lines(c), lambda x: F.struct(casefold(x).alias("folded"), x.alias("line"))), lambda x: _any_in(x["folded"], labels))
+    return F.try_element_at(F.filter(F.transform(seen, of_line), lambda x: x.isNotNull()), F.lit(1))
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import strip, to_number, to_text
+from ..functions.text import let, strip, to_number, to_text
 from ..types import ISSUE
 from .rules import issue
 
@@ -27,12 +27,6 @@ def _get(v: Column, name: str) -> Column:
     return F.try_variant_get(v, f"$.{name}", "variant")
 
 
-def _let(x: Column, made) -> Column:
-    """``made(x)`` with x evaluated once: a lambda's argument, where Catalyst would copy the
-    expression into each of its uses."""
-    return F.get(F.transform(F.array(x), lambda y: made(y)), F.lit(0))
-
-
 #: How a field of each kind is read; texts of RAW_TEXT as they stand.
 _WANT = {T.DoubleType: "number", T.IntegerType: "whole"}
 
@@ -65,10 +59,10 @@ def _judged(s: Column) -> Column:
             .when(~printed, "string_type")
         )
         shown = F.when(printed & want.isin("text", "raw"), F.when(want == "raw", text).otherwise(to_text(text)))
-        return F.struct(F.when((want == "number") & ~missing, amount).alias("number"), F.when((want == "whole") & ~missing, exact).alias("whole"), shown.alias("text"), _let(error, lambda e: _problem(s["path"], e, x)).alias("issue"))
+        return F.struct(F.when((want == "number") & ~missing, amount).alias("number"), F.when((want == "whole") & ~missing, exact).alias("whole"), shown.alias("text"), let(error, lambda e: _problem(s["path"], e, x)).alias("issue"))
 
     whole = F.when(printed & strip(text).rlike("^[+-]?[0-9]+$"), strip(text).try_cast("double")).otherwise(plain)
-    return _let(F.struct(F.when(want == "number", to_number(F.when(printed, text))).alias("amount"), plain.alias("plain"), F.when(want == "whole", whole).alias("whole")), made)
+    return let(F.struct(F.when(want == "number", to_number(F.when(printed, text))).alias("amount"), plain.alias("plain"), F.when(want == "whole", whole).alias("whole")), made)
 
 
 def _value(parts: Column, fields: list[T.StructField], field: T.StructField) -> Column:
@@ -90,7 +84,7 @@ def _lines(array: Column, field: T.StructField) -> Column:
         at = F.concat(F.lit(f"{field.name}."), i.cast("string"))
         bad = F.struct(F.lit(None).cast(field.dataType.elementType).alias("line"), F.array(_problem(at, F.lit("model_type"), e)).alias("issues"))
         good = lambda p: F.struct(F.struct(*[_value(p, fields, f) for f in fields]).alias("line"), _issues(p).alias("issues"))
-        return F.when(F.coalesce(_kind(e) == "OBJECT", F.lit(False)), _let(_scalars(e, fields, F.concat(at, F.lit("."))), good)).otherwise(bad)
+        return F.when(F.coalesce(_kind(e) == "OBJECT", F.lit(False)), let(_scalars(e, fields, F.concat(at, F.lit("."))), good)).otherwise(bad)
 
     return F.transform(array, one)
 
@@ -115,7 +109,7 @@ def coerce(json: Column, schema: T.StructType) -> Column:
         wrong = F.array(issue("not_an_object", "error", None, "the answer is no JSON object"))
         return F.struct(F.when(p["_is_object"], doc).alias("doc"), F.when(p["_is_object"], found).otherwise(wrong).alias("issues"))
 
-    return _let(F.try_parse_json(json), lambda v: _let(parts(v), result))
+    return let(F.try_parse_json(json), lambda v: let(parts(v), result))
 
 
 def _list(v: Column, field: T.StructField) -> Column:
@@ -126,6 +120,6 @@ def _list(v: Column, field: T.StructField) -> Column:
         bad = _problem(F.lit(field.name), F.when(x.isNotNull() & (_kind(x) != "ARRAY"), "list_type"), x)
         empty, no_issues = F.array().cast(field.dataType), F.array().cast(T.ArrayType(ISSUE))
         lines = lambda r: F.struct(F.coalesce(F.array_compact(F.transform(r, lambda e: e["line"])), empty).alias("lines"), bad.alias("issue"), F.coalesce(F.flatten(F.transform(r, lambda e: e["issues"])), no_issues).alias("issues"))
-        return _let(_lines(array, field), lines)
+        return let(_lines(array, field), lines)
 
-    return _let(_get(v, field.name), judged)
+    return let(_get(v, field.name), judged)

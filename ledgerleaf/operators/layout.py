@@ -31,20 +31,24 @@ def bounding_box(polygon: Column) -> Column:
 def _lines(blocks: Column, tolerance: float) -> Column:
     """Blocks (sorted by centre, then left edge) cut into lines: a block joins the last line if its
     centre lies within the tolerance of that line's running mean."""
-    item = "struct<x:double,seq:bigint,text:string>"
-    zero = F.expr(f"named_struct('done', cast(array() as array<array<{item}>>), 'open', cast(array() as array<{item}>), 'mean', cast(null as double))")
-
-    def step(acc: Column, b: Column) -> Column:
-        entry = F.array(F.struct(b["x"].alias("x"), b["seq"].alias("seq"), b["text"].alias("text")))
-        n = F.size(acc["open"])
-        joins = F.coalesce(F.abs(b["centre"] - acc["mean"]) <= tolerance, F.lit(False))
-        joined = F.struct(acc["done"].alias("done"), F.concat(acc["open"], entry).alias("open"), ((acc["mean"] * n + b["centre"]) / (n + 1)).alias("mean"))
-        begun = F.struct(F.when(n > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), entry.alias("open"), b["centre"].alias("mean"))
-        return F.when(joins, joined).otherwise(begun)
-
-    end = lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
-    words = lambda line: F.array_join(F.transform(F.array_sort(line), lambda b: b["text"]), " ")
-    return F.transform(F.aggregate(blocks, zero, step, end), words)
+    # The fold keeps line starts only (one small append a line); the blocks are cut once afterwards.
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(None).cast("double").alias("mean"))
+
+    def step(acc: Column, centre: Column) -> Column:
+        joins = F.coalesce(F.abs(centre - acc["mean"]) <= tolerance, F.lit(False))
+        return F.struct(
+            F.when(joins, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"),
+            (acc["i"] + 1).alias("i"),
+            F.when(joins, acc["n"] + 1).otherwise(1).alias("n"),
+            F.when(joins, (acc["mean"] * acc["n"] + centre) / (acc["n"] + 1)).otherwise(centre).alias("mean"),
+        )
+
+    starts = F.aggregate(F.transform(blocks, lambda b: b["centre"]), zero, step, lambda acc: acc["starts"])
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts), F.lit(1))), F.array(F.size(blocks)))
+    line = lambda span: F.slice(blocks, span["start"] + 1, span["end"] - span["start"])
+    words = lambda span: F.array_join(F.transform(F.array_sort(F.transform(line(span), lambda b: F.struct(b["x"].alias("x"), b["seq"].alias("seq"), b["text"].alias("text")))), lambda b: b["text"]), " ")
+    spans = F.arrays_zip(starts.alias("start"), F.when(F.size(starts) > 0, ends).alias("end"))
+    return F.when(F.size(blocks) > 0, F.transform(spans, words)).otherwise(F.array().cast("array<string>"))
 
 
 def reading_order(blocks: DataFrame, tolerance: float = LINE_TOLERANCE) -> DataFrame:

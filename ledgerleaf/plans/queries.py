@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .. import store
 from ..operators import layout, paths, rules, score
+from ..operators.review import by_severity
+from ..sources import files
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -103,7 +106,10 @@ def review_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{fx.CTE}, i AS ({_ALL_SQL}) SELECT code, severity, count(*) AS n, count(DISTINCT k) AS documents FROM i GROUP BY 1, 2")
 def issue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.invoice_docs(spark, sf_dir)
-    return _issues(docs, _rules(docs).all()).groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("k").alias("documents"))
+    # Errors first, then warnings, as a reviewer sees them.
+    sorted_out = docs.select("k", by_severity(_rules(docs).all()).alias("i"))
+    rows = sorted_out.select("k", F.explode(F.concat("i.errors", "i.warnings")).alias("i")).select("k", "i.code", "i.severity")
+    return rows.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_distinct("k").alias("documents"))
 
 
 # --- paths
@@ -151,8 +157,7 @@ FROM fa a FULL JOIN fb b ON a.k = b.k AND a.path = b.path WHERE NOT {_SAME}"""
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (paths.flat_rows(fx.invoice_docs(spark, sf_dir, x), "k", "doc") for x in "ab")
-    return paths.diff(a, b, "k")
+    return paths.document_diff(fx.both_docs(spark, sf_dir), "k", "a", "b")
 
 
 def _split(c: str, name: str) -> list:
@@ -170,7 +175,7 @@ def diff_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CASE k % 2 WHEN 0 THEN 'traditional' ELSE 'vlm' END AS engine, array_to_string(list_filter(string_split(path, '.'), lambda p: NOT regexp_full_match(p, '[0-9]+')), '.') AS field, count(*) AS corrections, count(DISTINCT k) AS documents FROM d GROUP BY 1, 2""")
 def corrections_by_engine_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = F.when(F.col("k") % 2 == 0, "traditional").otherwise("vlm").alias("engine")
-    return _changes(spark, sf_dir).groupBy(engine, score.field_key(F.col("path")).alias("field")).agg(F.count("*").alias("corrections"), F.count_distinct("k").alias("documents"))
+    return store.correction_rates(_changes(spark, sf_dir).select("k", "path", engine), "k")
 
 
 @query(f"""{fx.CTE}, r AS (SELECT k, s, total_c + s * 100 AS t FROM inv, (VALUES (0), (1), (2)) v(s) WHERE s <= k % 3)
@@ -178,16 +183,16 @@ SELECT k, max(s)::BIGINT AS seq, arg_max(t, s)::BIGINT AS total_c, count(*) AS v
 def current_after_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = fx.invoices(spark, sf_dir).select("k", "total_c", F.explode(F.sequence(F.lit(0), (F.col("k") % 3).cast("int"))).alias("s"))
     log = log.select("k", F.col("s").cast("long").alias("s"), (F.col("total_c") + F.col("s") * 100).alias("t"))
-    # The latest version wins by an aggregate, which combines before the shuffle; a window would not.
-    return log.groupBy("k").agg(F.max("s").alias("seq"), F.max_by("t", "s").alias("total_c"), F.count("*").alias("versions"))
+    return store.latest(log.withColumnsRenamed({"s": "seq", "t": "total"}), "k", "seq", "total").withColumnRenamed("total", "total_c")
 
 
 # --- comparison of engines
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [fx.invoice_docs(spark, sf_dir, e).select("k", F.lit(i).alias("ordinal"), F.lit(e).alias("engine"), "doc", ((F.col("k") * (7 + 4 * i)) % 1000).cast("double").alias("latency_ms")) for i, e in enumerate("ab")]
-    return parts[0].unionByName(parts[1])
+    latency = lambda i: ((F.col("k") * (7 + 4 * i)) % 1000).cast("double").alias("latency_ms")
+    rows = [F.struct(F.lit(i).alias("ordinal"), F.lit(e).alias("engine"), F.col(e).alias("doc"), latency(i)) for i, e in enumerate("ab")]
+    return fx.both_docs(spark, sf_dir).select("k", F.inline(F.array(*rows)))
 
 
 _COMPARE_SQL = f"""SELECT coalesce(a.k, b.k) AS k, coalesce(a.path, b.path) AS path, ({_SAME} AND coalesce(a.k, b.k) % 41 <> 0) AS agree
@@ -358,7 +363,7 @@ def queue_filter_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of the review queue: a top-k, which sorts no more than it returns."""
     status = F.when(F.col("o_orderstatus") == "F", "approved").otherwise("pending_review")
     rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_orderdate").alias("created_at"))
-    return rows.filter("status = 'pending_review'").orderBy(F.desc("created_at"), "id").offset(50).limit(50)
+    return store.listing(rows, status="pending_review", limit=50, offset=50)
 
 
 @query(f"{fx.CTE} SELECT k, invoice_number, currency, {_NUM.format('total_c')} AS total FROM inv")
@@ -369,22 +374,20 @@ def scan_prune_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, count(*) OVER (PARTITION BY sha256(coalesce(text, ''))) AS copies FROM documents QUALIFY copies > 1")
 def content_hash_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
-    # Counts combine before their shuffle; a very common text then costs a skewed join, which AQE splits.
-    return rows.join(rows.groupBy("content_hash").agg(F.count("*").alias("copies")).filter("copies > 1"), "content_hash")
+    return store.copies(rows, "doc_id")
 
 
 @query(f"{fx.CTE} SELECT k, invoice_number FROM inv WHERE currency = 'USD' AND {_NUM.format('total_c')} > cast(1000 as double)")
 def jsonb_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fx.invoice_docs(spark, sf_dir)
-    v = docs.select("k", F.parse_json(F.to_json("doc")).alias("v"))
-    return v.filter((F.variant_get("v", "$.currency", "string") == "USD") & (F.variant_get("v", "$.total", "double") > 1000)).select("k", F.variant_get("v", "$.invoice_number", "string").alias("invoice_number"))
+    found = store.containing(paths.flat_rows(docs, "k", "doc"), "k", "currency", '"USD"')
+    return docs.filter(F.col("doc.total") > 1000).select("k", "doc.invoice_number").join(found, "k", "left_semi")
 
 
 @query("SELECT event_id, key AS path, CAST(value AS VARCHAR) AS value FROM (SELECT event_id, unnest(json_keys(props)) AS key, props FROM events) e, LATERAL (SELECT json_extract_string(props, concat('$.', key)) AS value) x")
 def flatten_json_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("v"))
-    events.createOrReplaceTempView("ledgerleaf_props")
-    return spark.sql("SELECT event_id, x.key AS path, cast(x.value AS string) AS value FROM ledgerleaf_props, LATERAL variant_explode(v) AS x")
+    return spark.sql("SELECT event_id, x.key AS path, cast(x.value AS string) AS value FROM {events}, LATERAL variant_explode(v) AS x", events=events)
 
 
 _TRI = "list_distinct(list_transform(range(1, length(lower({0})) - 1), lambda i: substr(lower({0}), i, 3)))"
@@ -398,18 +401,18 @@ def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT d.doc_id, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id)")
 def labelled_samples_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return files.paired(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")[0]
 
 
 @query("SELECT d.doc_id, d.lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unlabelled_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return files.paired(_table(spark, sf_dir, "documents").select("doc_id", "lang"), _table(spark, sf_dir, "labels"), "doc_id")[1]
 
 
 @query("SELECT conv_id, list(role ORDER BY turn) AS pages, count(*) AS source_page_count, count(*) > 3 AS truncated FROM conversations WHERE turn IS NOT NULL GROUP BY 1".replace("list(role ORDER BY turn)", "array_to_string(list(role ORDER BY turn)[1:3], ',')"))
 def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    pages = F.array_join(F.transform(F.slice(turns, 1, 3), lambda x: x["role"]), ",")
+    pages = F.array_join(F.transform(files.cap_pages(turns, 3), lambda x: x["role"]), ",")
     return _table(spark, sf_dir, "conversations").filter("turn IS NOT NULL").groupBy("conv_id").agg(pages.alias("pages"), F.count("*").alias("source_page_count"), (F.count("*") > 3).alias("truncated"))
 
 
@@ -457,8 +460,7 @@ def samples_by_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT inv.k, invoice_number, coalesce(n_corrections, 0) AS n_corrections, first_path FROM inv LEFT JOIN n USING (k)""")
 def point_lookup_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with their corrections nested; the corrections are grouped before the join."""
-    nested = _changes(spark, sf_dir).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("path", "old", "new"))).alias("corrections"))
-    joined = fx.invoices(spark, sf_dir).select("k", "invoice_number").join(nested, "k", "left")
+    joined = store.with_corrections(fx.invoices(spark, sf_dir).select("k", "invoice_number"), _changes(spark, sf_dir), "k", "path", "old", "new")
     return joined.select("k", "invoice_number", F.coalesce(F.size("corrections"), F.lit(0)).cast("long").alias("n_corrections"), F.get("corrections", F.lit(0))["path"].alias("first_path"))
 
 

@@ -39,12 +39,18 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
 
 def labelled(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """(samples, unlabelled): documents with the JSON object of the same stem, and those without
-    one that can be read."""
+    one that can be read; both by path."""
     files = spark.read.format("binaryFile").load(folder)
     docs = files.filter(suffix(F.col("path")).isin(*SUFFIXES)).select(stem(F.col("path")).alias("stem"), "path", "length")
     texts = files.filter(suffix(F.col("path")) == "json").select(stem(F.col("path")).alias("stem"), F.col("content").cast("string").alias("label"))
     good = texts.filter(F.coalesce(F.schema_of_variant(F.try_parse_json("label")).startswith("OBJECT"), F.lit(False)))
-    return docs.join(good, "stem"), docs.join(good, "stem", "left_anti")
+    samples, unlabelled = paired(docs, good, "stem")
+    return samples.orderBy("path"), unlabelled.orderBy("path")
+
+
+def paired(docs: DataFrame, labels: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(documents with a label, documents without one)."""
+    return docs.join(labels, key), docs.join(labels, key, "left_anti")
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .functions.replies import flatten_json
 from .operators.paths import as_json, diff
 from .operators.rules import needs_review
+from .operators.score import field_key
 
 DOCUMENTS = (
     "id string, source string, content_hash string, doc_type string, engine string, model string, status string, fields string, raw_extraction string, "
@@ -26,6 +27,47 @@ LISTED = ("id", "source", "content_hash", "doc_type", "engine", "model", "status
 STATUSES = ("pending_review", "approved", "rejected")
 
 
+def latest(reviews: DataFrame, key: str, seq: str, *columns: str) -> DataFrame:
+    """(key, seq, columns, versions): the review of the highest seq of each document, and how many
+    there are.  An aggregate, which combines before the shuffle; a window would not."""
+    last = F.max_by(F.struct(*columns), seq).alias("r")
+    return reviews.groupBy(key).agg(F.max(seq).alias(seq), last, F.count("*").alias("versions")).select(key, seq, "r.*", "versions")
+
+
+def listing(rows: DataFrame, status: str | None = None, doc_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A page of documents, the newest first: a top-k, which sorts no more than it returns."""
+    if not 1 <= limit <= 200 or offset < 0:
+        raise ValueError("limit must lie in 1..200 and offset not be negative")
+    if status:
+        rows = rows.filter(F.col("status") == status)
+    if doc_type:
+        rows = rows.filter(F.col("doc_type") == doc_type)
+    return rows.orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+
+
+def with_corrections(docs: DataFrame, corrections: DataFrame, key: str, *columns: str) -> DataFrame:
+    """Documents with their corrections nested, in the order of ``columns``; null if there are none."""
+    made = corrections.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("corrections"))
+    return docs.join(made, key, "left")
+
+
+def copies(rows: DataFrame, key: str, content_hash: str = "content_hash") -> DataFrame:
+    """Documents (key, content_hash, copies) whose content is there more than once.  Counts combine
+    before their shuffle; a very common content costs a skewed join, which AQE splits."""
+    hashed = rows.select(key, content_hash)
+    return hashed.join(hashed.groupBy(content_hash).agg(F.count("*").alias("copies")).filter("copies > 1"), content_hash)
+
+
+def containing(rows: DataFrame, key: str, path: str, value: str) -> DataFrame:
+    """Keys of rows (key, path, leaf) that have the JSON ``value`` at ``path``."""
+    return rows.filter((F.col("path") == path) & (as_json(F.col("leaf")) == value)).select(key).distinct()
+
+
+def correction_rates(corrections: DataFrame, key: str) -> DataFrame:
+    """Corrections and corrected documents by engine and field, items of a list as one field."""
+    return corrections.groupBy("engine", field_key(F.col("path")).alias("field")).agg(F.count("*").alias("corrections"), F.count_distinct(key).alias("documents"))
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str | None):
         self.spark, self.path = spark, path.rstrip("/") if path else None
@@ -67,7 +109,7 @@ class Store:
 
     def current(self) -> DataFrame:
         """Documents as they stand after their reviews."""
-        last = self.reviews().groupBy("id").agg(F.max_by(F.struct("fields", "reviewed_at", "reviewed_by"), "seq").alias("r"))
+        last = latest(self.reviews(), "id", "seq", "fields", "reviewed_at", "reviewed_by").select("id", F.struct("fields", "reviewed_at", "reviewed_by").alias("r"))
         docs = self._read("documents", DOCUMENTS).join(last, "id", "left")
         approved = F.when(F.col("r").isNotNull(), "approved").otherwise(F.col("status"))
         return docs.withColumns({"status": approved, "fields": F.coalesce("r.fields", "fields"), "reviewed_at": F.col("r.reviewed_at"), "reviewed_by": F.col("r.reviewed_by")}).drop("r")
@@ -97,28 +139,22 @@ class Store:
     def list(self, status: str | None = None, doc_type: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame | None:
         if not self.enabled:
             return None
-        if not 1 <= limit <= 200 or offset < 0:
-            raise ValueError("limit must lie in 1..200 and offset not be negative")
-        rows = self.current()
-        if status:
-            rows = rows.filter(F.col("status") == status)
-        if doc_type:
-            rows = rows.filter(F.col("doc_type") == doc_type)
-        return rows.select(*LISTED).orderBy(F.desc("created_at"), "id").offset(offset).limit(limit)
+        return listing(self.current(), status, doc_type, limit, offset).select(*LISTED)
 
     def get(self, document_id: str) -> DataFrame | None:
         """One document with its corrections, oldest first."""
         if not self.enabled:
             return None
-        made = self.corrections().filter(F.col("id") == document_id).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "path", "old", "new", "reviewed_by"))).alias("corrections"))
-        return self.current().filter(F.col("id") == document_id).join(made, "id", "left")
+        of = F.col("id") == document_id
+        return with_corrections(self.current().filter(of), self.corrections().filter(of), "id", "seq", "path", "old", "new", "reviewed_by")
 
     def duplicates(self) -> DataFrame:
         """Documents whose content was stored more than once."""
-        rows = self._read("documents", DOCUMENTS).select("id", "content_hash")
-        return rows.join(rows.groupBy("content_hash").agg(F.count("*").alias("copies")).filter("copies > 1"), "content_hash")
+        return copies(self._read("documents", DOCUMENTS), "id")
 
     def containing(self, path: str, value: str) -> DataFrame:
         """Current documents whose field at ``path`` has the JSON ``value``."""
-        flat = self.current().select("id", F.inline(flatten_json(F.col("fields"))))
-        return flat.filter((F.col("path") == path) & (as_json(F.col("leaf")) == value)).select("id").distinct()
+        return containing(self.current().select("id", F.inline(flatten_json(F.col("fields")))), "id", path, value)
+
+    def correction_rates(self) -> DataFrame:
+        return correction_rates(self.corrections(), "id")

@@ -217,3 +217,41 @@ def test_replies_nested_too_deeply_hold_no_object():
     deep = '{"a":' * 1500 + "1" + "}" * 1500
     assert [x["path"] for x in flat_object(deep)] in ([], [".".join("a" * 1500)])
     assert [x["path"] for x in flat_object('{"a": [1, {"b": null}], "c": {}}')] == ["a.0", "a.1.b", "c"]
+
+
+def test_lines_follow_the_running_mean(spark):
+    """The fold over line starts against a plain loop, on generated pages; loose blocks come last."""
+    draw = random.Random(3)
+    rows, want = [], {}
+    for doc in range(30):
+        blocks = [(doc, i, draw.choice(["a", "b", " c "]) + str(i), None if draw.random() < 0.1 else [float(draw.randint(0, 50)), y := float(draw.randint(0, 90)), 60.0, y + 4.0], 1) for i in range(draw.randint(0, 25))]
+        placed = sorted((((b[3][1] + b[3][3]) / 2, b[3][0], b[1], b[2].strip()) for b in blocks if b[3]))
+        lines, mean = [], 0.0
+        for b in placed:
+            if lines and abs(b[0] - mean) <= 12.0:
+                mean = (mean * len(lines[-1]) + b[0]) / (len(lines[-1]) + 1)
+                lines[-1].append(b[1:])
+            else:
+                lines.append([b[1:]])
+                mean = b[0]
+        if blocks:
+            want[doc] = "\n".join([" ".join(t for _, _, t in sorted(x)) for x in lines] + [b[2].strip() for b in blocks if not b[3]])
+        rows += blocks
+    got = layout.reading_order(spark.createDataFrame(rows, "doc_id long, seq long, text string, bbox array<double>, page int"))
+    assert {r.doc_id: r.text for r in got.collect()} == want
+
+
+def test_scores_and_boxes_of_odd_values(spark):
+    scores = spark.createDataFrame([("0.5",), ("93",), ("nan",), ("x",), (None,)], "s string").select(layout.score(F.col("s")).alias("v"))
+    assert [r.v for r in scores.collect()] == [0.5, 0.93, None, None, None]
+    boxes = spark.createDataFrame([([[3.0, 1.0], [0.0, 7.0]],), ([],), (None,)], "p array<array<double>>").select(layout.bounding_box(F.col("p")).alias("b"))
+    assert [r.b for r in boxes.collect()] == [[0.0, 1.0, 3.0, 7.0], None, None]
+
+
+def test_document_diff_is_the_diff_of_rows(spark):
+    kind = "k long, a struct<x:string,n:double,items:array<struct<q:double>>>, b struct<x:string,n:double,items:array<struct<q:double>>>"
+    rows = [(1, ("p", 1.0, [(1.0,)]), ("p", 2.0, [(1.0,), (None,)])), (2, ("", None, []), (None, None, None)), (3, ("p", 1.0, []), None), (4, None, None)]
+    docs = spark.createDataFrame(rows, kind)
+    whole = paths.diff(paths.flat_rows(docs, "k", "a"), paths.flat_rows(docs, "k", "b"), "k")
+    got = paths.document_diff(docs, "k", "a", "b")
+    assert sorted(got.collect()) == sorted(whole.collect()) and got.count() > 0
