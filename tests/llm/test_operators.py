@@ -375,6 +375,18 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert sum(x.size for x in cascade.levels) < 16 * len(keys)
 
 
+def test_url_rules_from_tables(spark):
+    """A list of 200,000 rules as a table, nulls, repeats and contradicting verdicts among them."""
+    many = spark.range(200_000).selectExpr("concat('H', id, '.test') AS host", "if(id % 2 = 0, '/a', '') AS path", "if(id % 5 = 0, 'allow', 'block') AS verdict")
+    odd = spark.createDataFrame([(None, "/x", "block"), ("h2.test", "/a", "allow"), ("n.test", None, "block"), ("q.test", "/", None)], "host string, path string, verdict string")
+    labels = spark.createDataFrame([("bad",), (None,), ("",)], "label string")
+    rows = [(1, "http://h2.test/ab"), (2, "http://x.H4.test/a"), (3, "http://h4.test/b"), (4, "http://h7.test"), (5, "http://h200001.test/a"), (6, "http://n.test/x"), (7, "http://q.test/"), (8, "http://bad.q.test/"), (9, None), (10, "http://h5.test/z" + "y" * 100_000)]
+    want = {1: ("h2.test/a", "allow"), 2: ("h4.test/a", "block"), 3: (None, "allow"), 4: ("h7.test", "block"), 5: (None, "allow"), 6: ("n.test", "block"), 7: (None, "allow"), 8: (None, "block"), 9: (None, "allow"), 10: ("h5.test", "allow")}
+    for bits in (urlfilter.MAX_BITS, 1):  # 1: the list is joined
+        got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string"), many.unionByName(odd), labels, max_bits=bits)
+        assert {r.page_id: (r.rule, r.verdict) for r in got.collect()} == want
+
+
 def test_licenses(spark):
     rows = [
         (1, "a/x.txt", "Some words here. Licensed under the Apache License, Version 2.0. More of it."), (2, "a/LICENSE", "Released under the MIT License."), (3, "a/b/c/y.txt", "nothing at all to see"),
