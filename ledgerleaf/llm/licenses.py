@@ -3,8 +3,8 @@
 Texts are cut into passages (lines, and sentences within them).  A passage's weights are term
 counts times inverse document frequencies over the whole corpus; it carries the license whose
 template has the greatest cosine with it, if that reaches ``least``.  Only words of the templates
-need frequencies, so what is gathered has the size of the templates' vocabulary; a word outside it
-weighs as much as one that a single document has.  Passages without a rare word of a template
+need frequencies, so what is gathered has the size of the templates' vocabulary; a word that none of the
+templates compared with has (notices or whole texts) weighs as much as one of a single document.  Passages without a rare word of a template
 cannot reach ``least`` (this is checked when the weights are fitted) and are passed over.
 
 Whole documents are compared with whole license texts in the same way, by logarithms of term counts
@@ -15,7 +15,9 @@ directory.  A document without a license of its own inherits that of its
 nearest ancestor directory, found by a join on the paths of directories.
 
 Null and empty texts have no license of their own.  A null path is in no directory.  Repeated rows
-are judged row by row.  Of several license files in one directory the one of the least path counts.
+are judged row by row, very long texts as a whole, and an empty table gives no rows.  Of equal
+cosines (to nine places) passages come before blocks, then the earlier one and the first template.
+Other columns are ignored.  Of several license files in one directory the one of the least path counts.
 """
 
 from __future__ import annotations
@@ -82,7 +84,7 @@ class Weights:
                 self.postings.setdefault(w, []).append((k, x))
             # The greatest cosine of a passage that has none of the rare words.
             common = max(common, math.sqrt(sum(x * x for w, x in self.vectors[-1][1].items() if w not in rare)))
-        self.triggers = np.sort(np.array(list(rare if common < least else self.idf), np.uint64))
+        self.triggers = np.sort(np.array(list(rare if common + 1e-9 < least else self.idf), np.uint64))
 
     def _counts(self, words: list[int]) -> dict[int, float]:
         return {w: 1 + math.log(n) if self.damped else n for w, n in Counter(words).items()}
@@ -108,8 +110,10 @@ class Weights:
                 dots[k] = dots.get(k, 0.0) + n * self.idf[w] * x
         if not dots:
             return None
-        k = max(dots, key=lambda k: (dots[k], -k))
-        return (self.vectors[k][0], dots[k] / norm) if dots[k] / norm >= self.least else None
+        # Rounded, so that ties don't hang on the order of sums.
+        k = max(dots, key=lambda k: (round(dots[k] / norm, 9), -k))
+        cosine = round(dots[k] / norm, 9)
+        return (self.vectors[k][0], cosine) if cosine >= self.least else None
 
 
 def _members(h: np.ndarray, of: np.ndarray) -> np.ndarray:

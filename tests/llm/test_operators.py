@@ -3,10 +3,12 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 import hashlib
+import math
 import random
 import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -412,6 +414,68 @@ def test_license_files_hold_whole_texts(spark):
     assert got[101] == (None, None)
 
 
+def plain_license(texts, least):
+    """Every passage, block and whole text against every template, with no shortcut."""
+    fold = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+
+    def runs(text, apart):
+        data, out, last = text.encode().translate(fold), [], None
+        for m in re.finditer(rb"[0-9a-z\x80-\xff]+", data):
+            gap = data[last : m.start()] if last is not None else b""
+            if last is None or apart(gap):
+                out.append([])
+            out[-1].append(m.group())
+            last = m.end()
+        return out
+
+    line = lambda gap: b"\n" in gap or (gap[:1] in (b".", b"!", b"?") and gap[1:2] in (b" ", b"\t", b"\r"))
+    words = lambda text: [w for run in runs(text, lambda gap: False) for w in run]
+    seen = Counter(w for t in texts for w in set(words(t or "")))
+
+    def cosine(a, b, damped, known):
+        idf = lambda w: math.log((1 + len(texts)) / (1 + (seen[w] if w in known else 1))) + 1
+        weigh = lambda x: {w: (1 + math.log(n) if damped else n) * idf(w) for w, n in Counter(x).items()}
+        p, q = weigh(a), weigh(b)
+        norm = math.sqrt(sum(x * x for x in p.values()) * sum(x * x for x in q.values()))
+        return sum(x * q.get(w, 0.0) for w, x in p.items()) / norm if norm else 0.0
+
+    def best(parts, templates, damped):
+        forms = [(name, words(f)) for name, group in templates.items() for f in group]
+        known = {w for _, f in forms for w in f}
+        # Of equal ones max gives the first: passages before blocks, then as they stand in the text.
+        return max(((round(cosine(p, f, damped, known), 9), name) for p in parts for name, f in forms), key=lambda x: x[0], default=(0.0, None))
+
+    out = []
+    for t in texts:
+        whole = best([words(t or "")], licenses.whole_texts(), True)
+        part = best(runs(t or "", line) + runs(t or "", lambda gap: gap.count(b"\n") > 1), licenses.TEMPLATES, False)
+        found = whole if whole[0] >= least else part
+        out.append(found if found[0] >= least else (None, None))
+    return out
+
+
+def test_licenses_against_plain_cosines(spark):
+    draw = random.Random(11)
+    notices = [t for group in licenses.TEMPLATES.values() for t in group]
+    whole = [t for group in licenses.whole_texts().values() for t in group]
+    common = "the of and software license permission use copyright terms red tree stone river".split()
+
+    def line():
+        kept = [w for w in draw.choice(notices).split() if draw.random() < draw.choice((0.6, 0.8, 1.0))]
+        return " ".join(kept + draw.choices(common, k=draw.choice((0, 0, 2, 6)))) if draw.random() < 0.5 else " ".join(draw.choices(common, k=draw.randint(1, 12)))
+
+    texts = [draw.choice(("\n", "\n\n", ". ")).join(line() for _ in range(draw.randint(0, 6))) for _ in range(150)]
+    texts += [" ".join(w for w in t.split(" ") if draw.random() < share) for t in whole for share in (0.3, 0.6, 0.95)]
+    texts += [None, "", "license " * 40_000, "é" * 300_000]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").withColumn("path", F.lit(None).cast("string"))).collect()}
+    want = plain_license(texts, licenses.LEAST)
+    assert sum(w[0] is not None for w in want) > 30
+    for i, (cosine, name) in enumerate(want):
+        near = [abs((got[i].cosine or 0.0) - (cosine or 0.0)) < 2e-6, got[i].license == name]
+        assert all(near), (i, texts[i][:200], got[i], cosine, name)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     path = packing.tokenizer_path()
