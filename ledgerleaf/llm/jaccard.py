@@ -7,9 +7,10 @@ first; two sets that are similar enough share a shingle among their first few (t
 2. One scan yields each document's size, set hash, prefix and a 256-bit parity map of its set.
    Equal sets become one class; classes of equal prefix and size become one group (but those of a
    crowd of over GROUP classes stay by themselves).
-3. Groups meet where they share a prefix shingle, in order of size.  Pairs go through filters that
-   never turn away a similar pair: by size and by the shingle's places, and where both groups have
-   one member by the parity maps (which bound the symmetric difference from below).
+3. Prefix shingles that one group alone holds are left out.  Groups meet where they share one of the
+   others, in order of size.  Pairs go through filters that never turn away a similar pair: by size
+   and by the shingle's places, and where both groups have one member by the parity maps (which
+   bound the symmetric difference from below).
 4. Group pairs are expanded to member classes, filtered by the members' own maps, and each pair is
    verified on the full sets.
 5. Components of the verified links.
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh, materialise, release, sized, table
@@ -163,7 +164,7 @@ def features(docs: DataFrame, size: int, num: int, den: int, sketch: tuple[np.nd
 
 
 #: In meta: the shingle's place (40 bits), whether the group has several members, whether they are in
-#: several components, and the block (20 bits).  Rows are kept small: they are what is shuffled most.
+#: several components, and the block (20 bits).
 POSTINGS = "token long, dealt long, n long, gid long, meta long, comp long, m0 long, m1 long, m2 long, m3 long"
 _COLUMNS = [f.split()[0] for f in POSTINGS.split(", ")]
 
@@ -175,16 +176,22 @@ def long_lists(groups: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.count("*").alias("held")).filter(F.col("held") > LIST).select("token", F.lit(True).alias("heavy"), F.ceil(F.col("held") / LIST).cast("int").alias("parts"))
 
 
-def postings(groups: DataFrame, dealt_out: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """A row for each prefix shingle of each group; in a list of b blocks, one for each of the b
-    pairs of blocks that the group's block is in."""
-    kept = ["n", "gid", "several", "comp", "mixed", *_MAPS]
-    each = groups.select(*kept, F.posexplode(F.arrays_zip("prefix", "heavy")).alias("pos", "x"))
-    each = each.select(F.col("x.prefix").alias("token"), F.col("x.heavy").alias("heavy"), "pos", *kept)
-    if tokens is not None:
-        each = each.join(sized(tokens), "token", "left_semi")
+def places(groups: DataFrame, dealt_out: DataFrame) -> DataFrame:
+    """(token, row, pos, parts) of the prefix shingles that two groups or more hold; most are held by
+    one, which nothing can meet.  Only these narrow rows are shuffled for all shingles.  Shingles that
+    are dealt out are known to be shared, so a window holds LIST rows at most."""
+    each = groups.select("row", F.posexplode(F.arrays_zip("prefix", "heavy")).alias("pos", "x"))
+    each = each.select(F.col("x.prefix").alias("token"), F.col("x.heavy").alias("heavy"), "pos", "row").join(sized(dealt_out), ["token", "heavy"], "left")
+    met = each.filter("parts IS NULL").select("token", "row", "pos").withColumn("held", F.count("*").over(Window.partitionBy("token"))).filter("held > 1")
+    return each.filter("parts IS NOT NULL").select("token", "row", "pos", "parts").unionAll(met.select("token", "row", "pos", F.lit(1).alias("parts")))
+
+
+def postings(groups: DataFrame, held: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """A row for each of the ``held`` places (of ``tokens``, if given) with its group; in a list of b
+    blocks, one for each of the b pairs of blocks that the group's block is in."""
+    each = held if tokens is None else held.join(sized(tokens), "token", "left_semi")
     block = F.pmod(F.xxhash64("gid", F.lit(7)), F.col("parts")).cast("int")
-    each = each.join(sized(dealt_out), ["token", "heavy"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("block", block)
+    each = each.join(groups.select("row", "n", "gid", "several", "comp", "mixed", *_MAPS).hint("merge"), "row").withColumn("block", block)
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     dealt = F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.least("block", "other").cast("long") * (1 << 20) + F.greatest("block", "other") + 1)
     flags = F.col("several").cast("long") + 2 * F.col("mixed").cast("long") + 4 * F.col("block").cast("long")
@@ -422,13 +429,15 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
     alone = classes.join(crowds, ["g", "n"], "left_semi").select("g", "n", F.col("cls").alias("gid"), F.lit(False).alias("several"), *_MAPS)
     grouped = sums.filter(F.col("members") <= GROUP).select("g", "n", "gid", (F.col("members") > 1).alias("several"), *_MAPS)
     own = found.select(F.col("doc_id").alias("gid"), "g", "n", "prefix", "heavy")
-    groups = materialise(grouped.unionAll(alone).join(own, ["gid", "g", "n"]).dropDuplicates(["gid", "g", "n"]).drop("g"))
+    whole = materialise(grouped.unionAll(alone).join(own, ["gid", "g", "n"]).dropDuplicates(["gid", "g", "n"]).withColumn("row", F.xxhash64("gid", "g", "n")).drop("g"))
     # (gid, cls) of the members of groups that have several.
     members = classes.join(sums.filter((F.col("members") > 1) & (F.col("members") <= GROUP)).select("g", "n", "gid"), ["g", "n"]).select("gid", "cls")
     members = materialise(members)
-    dealt_out = materialise(long_lists(groups))
+    dealt_out = materialise(long_lists(whole))
+    held = materialise(places(whole, dealt_out))
+    groups = materialise(whole.drop("prefix", "heavy"))
     rows = materialise(found.select("doc_id", *_KEY))
-    release(found)
+    release(found, whole)
 
     def expand(pairs: DataFrame) -> DataFrame:
         """Pairs of classes, from (a, b, grouped) of groups and from within groups."""
@@ -455,7 +464,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
             labels = materialise(both.groupBy("gid").agg(F.min("low").alias("low"), F.max("low").alias("high")))
             used.append(labels)
             labelled = groups.join(sized(labels), "gid", "left").withColumns({"comp": F.coalesce("low", "gid"), "mixed": F.coalesce(F.col("low") != F.col("high"), F.lit(False))})
-        got = materialise(candidate_pairs(postings(labelled, dealt_out, open_lists), num, den, turn))
+        got = materialise(candidate_pairs(postings(labelled, held, open_lists), num, den, turn))
         pairs = got.filter("a IS NOT NULL").select("a", "b", "grouped").distinct()
         wide = pairs.filter("grouped").select("a", "b")
         if turn == 0:
@@ -476,7 +485,7 @@ def _joined(docs: DataFrame, size: int, num: int, den: int) -> tuple[DataFrame,
             break
         tried, turn = new if tried is None else tried.unionAll(new), turn + 1
     component = known.select(F.col("node").alias("cls"), "component")
-    release(groups, sums, members, dealt_out, open_lists, *used)
+    release(groups, held, sums, members, dealt_out, open_lists, *used)
     return rows, classes.join(component, "cls", "left").select(*_KEY, "cls", F.coalesce("component", "cls").alias("component_id"))
 
 
